@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -20,114 +22,197 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 
+BLANK = re.compile(r" (?=\S)")
+ODD_BLANK = re.compile(r" (?!\S)")
+
+
 class Vocabulary:
+    """Ranks of a byte-level BPE whose tokens rank above the two they merge from, and which holds all single bytes."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        # tokens by their last two bytes: lengths at which some token can end there
-        ends: dict[bytes, set[int]] = {}
-        for b in ranks:
-            ends.setdefault(b[-2:], set()).add(len(b))
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
-        self.apart: dict[int, bool] = {}
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Plain BPE: join the pair of lowest rank, leftmost first, until none is left."""
+        # every ending of a token: the token that it is, or -1
+        self.suffixes: dict[bytes, int] = {b[i:]: -1 for b in ranks for i in range(1, len(b))} | ranks
+        self.known_apart: dict[int, bool] = {}
+        self.known_produced: dict[int, bool] = {}
+        self.sides: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
+
+    def halves(self, piece: bytes) -> list[bytes]:
+        """Plain BPE, lowest rank and then leftmost first, until two parts are left or no pair can merge."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        get = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        while len(parts) > 2:
+            r, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+            if r == 1 << 40:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
-    def stay_apart(self, a: int, b: int) -> bool:
-        """Whether the merges of a's and b's bytes give just a and b. Kept; the store starts anew at a bound."""
-        k = a * 0x1000000 + b
-        known = self.apart.get(k)
+    def produced(self, t: int) -> bool:
+        """Whether the merges of the token's own bytes give it."""
+        known = self.known_produced.get(t)
         if known is None:
-            if len(self.apart) > 600_000:
-                self.apart.clear()
-            known = self.apart[k] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            known = self.known_produced[t] = len(self.bytes[t]) == 1 or len(self.halves(self.bytes[t])) == 2
         return known
 
+    def side(self, t: int, right: bool) -> list[tuple[bytes, float]]:
+        """The parts at the token's right (left) end from its outermost byte to itself, each with the rank at which it is
+        merged into the next."""
+        out = self.sides.get((t, right))
+        if out is None:
+            down, up = [], float("inf")
+            part = self.bytes[t]
+            while True:
+                down.append((part, up))
+                if len(part) == 1:
+                    break
+                up = self.ranks[part]
+                part = self.halves(part)[-1 if right else 0]
+            out = self.sides[t, right] = down[::-1]
+        return out
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether the merges of a's and b's bytes give just a and b.
+
+        As merges go by rising rank, the parts that touch at the border climb a's right and b's left side; a and b stay
+        apart unless some touching pair has a merge due before either part joins its own next one. Results are kept;
+        the store starts anew at a bound.
+        """
+        k = a << 24 | b
+        known = self.known_apart.get(k)
+        if known is not None:
+            return known
+        if len(self.known_apart) > 600_000:
+            self.known_apart.clear()
+        left, right, i, j = self.side(a, True), self.side(b, False), 0, 0
+        apart = True
+        while True:
+            (u, up_u), (v, up_v) = left[i], right[j]
+            r = self.ranks.get(u + v)
+            if r is not None and r < up_u and r <= up_v:
+                apart = False
+                break
+            if i == len(left) - 1 and j == len(right) - 1:
+                break
+            if up_u <= up_v:
+                i += 1
+            else:
+                j += 1
+        self.known_apart[k] = apart
+        return apart
+
+    def last(self, d: bytes, i: int, before: Callable[[int], int]) -> int:
+        """The last token of d[:i], given the last token of every shorter prefix."""
+        get, ends, n = self.suffixes.get, [], 1
+        while n <= i:
+            t = get(d[i - n : i])
+            if t is None:
+                break
+            if t >= 0:
+                ends.append((n, t))
+            n += 1
+        for n, t in reversed(ends):
+            if self.produced(t) if n == i else self.stay_apart(before(i - n), t):
+                return t
+        raise ValueError(f"no token ends at byte {i}: the vocabulary lacks a single byte")
+
 
 class Prefixes:
     """Last tokens of all prefixes of a byte string; append() and edit() keep them exact."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, b"", []
+        self.v, self.data, self.ends = vocabulary, b"", []
         self.append(data)
 
     def append(self, data: bytes) -> None:
         self.data += data
-        v, d, last = self.v, self.data, self.last
-        ranks, ends, apart = v.ranks, v.ends, v.stay_apart
-        for i in range(len(last) + 1, len(d) + 1):
-            for n in chain(ends.get(d[max(0, i - 2) : i], ()) if i > 1 else (), (1,)):
-                if n > i:
-                    continue
-                t = ranks.get(d[i - n : i])
-                if t is None:
-                    continue
-                # a token that its own bytes don't merge to is never produced
-                if n == i and self._whole(t) or n < i and apart(last[i - n - 1], t):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {i}: the vocabulary lacks a single byte")
-
-    def _whole(self, t: int) -> bool:
-        return self.v.stay_apart_whole(t) if hasattr(self.v, "stay_apart_whole") else self.v.merged(self.v.bytes[t]) == [t]
+        for i in range(len(self.ends) + 1, len(self.data) + 1):
+            self.ends.append(self.v.last(self.data, i, lambda j: self.ends[j - 1]))
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace data[start:end]; last tokens are computed anew from there only until they agree with the old ones for
         as many bytes as the longest token has. Returns how many prefixes were computed."""
-        old, tail = self.last[end:], self.data[end:]
-        self.data, self.last = self.data[:start], self.last[:start]
+        old, tail = self.ends[end:], self.data[end:]
+        self.data, self.ends = self.data[:start], self.ends[:start]
         self.append(new)
         done = agree = 0
         for i, t in enumerate(old):
             self.append(tail[i : i + 1])
             done += 1
-            agree = agree + 1 if self.last[-1] == t else 0
+            agree = agree + 1 if self.ends[-1] == t else 0
             if agree >= self.v.longest:
                 self.data += tail[i + 1 :]
-                self.last += old[i + 1 :]
+                self.ends += old[i + 1 :]
                 break
         return len(new) + done
 
     def tokens(self) -> list[int]:
-        out, i = [], len(self.last)
+        out, i = [], len(self.ends)
         while i:
-            t = self.last[i - 1]
+            t = self.ends[i - 1]
             out.append(t)
             i -= len(self.v.bytes[t])
         return out[::-1]
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str, pieces: int = 200_000):
+    """Encodes texts piece by piece. Pieces share one store of prefixes, so a piece costs its unseen bytes only; the
+    stores of prefixes and of whole pieces start anew at a bound (pieces keep one older generation)."""
+
+    def __init__(self, path: str, pattern: str, pieces: int = 200_000, prefixes: int = 700_000):
         with open(path, "rb") as f:
             self.v = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
-        self.most = pieces
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
+        self.ends: dict[bytes, int] = {}
+        self.most, self.most_ends = pieces, prefixes
+
+    def piece(self, d: bytes) -> tuple[int, ...]:
+        ends = self.ends
+        if len(ends) > self.most_ends:
+            ends.clear()
+        i = n = len(d)
+        while i and d[:i] not in ends:
+            i -= 1
+        before = lambda j: ends[d[:j]]
+        for i in range(i + 1, n + 1):
+            ends[d[:i]] = self.v.last(d, i, before)
+        out = []
+        while n:
+            t = ends[d[:n]]
+            out.append(t)
+            n -= len(self.v.bytes[t])
+        return tuple(out[::-1])
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.split(text or "")
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for p in set(pieces).difference(known):
-            known[p] = tuple(Prefixes(self.v, p.encode()).tokens())
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        """Words are looked up with the blank before them: as the pattern's words take one leading blank and no other
+        alternative reaches over it, each blank before a visible character starts a piece."""
+        if not text:
+            return []
+        words = text.split(" ") if not ODD_BLANK.search(text) else BLANK.split(text)
+        if len(self.words) > self.most:
+            self.words, self.old_words = {}, self.words
+        known = self.words
+        first = self.pieces(words[0])
+        del words[0]
+        for w in set(words).difference(known):
+            known[w] = self.old_words.get(w) or self.pieces(" " + w)
+        return list(chain(first, chain.from_iterable(map(known.__getitem__, words))))
+
+    def pieces(self, text: str) -> tuple[int, ...]:
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, out = self.known, []
+        for p in self.split(text):
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = self.older.get(p) or self.piece(p.encode())
+            out += ids
+        return tuple(out)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.bytes.__getitem__, ids))

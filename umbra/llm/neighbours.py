@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are a bounded sample of the vectors. A vector is represented by its `depth` nearest pivots in order, and is
-posted in those pivots' inverted files. A query visits its own pivots' files, ranks the posts by Spearman's footrule (a
-pivot that one list lacks counts as at place `depth`), and the best are reranked by exact cosine. Files are dealt in blocks
+posted in the inverted files of the first `posted`. A query visits the files of its own first `probes` pivots, ranks the posts by Spearman's footrule (a
+pivot that one list lacks counts as at place `depth`), and the best (`rerank`, or a `share` of
+the block if that is more) are reranked by exact cosine. Files are dealt in blocks
 of bounded size, so a pivot that a third of all vectors are near is many tasks.
 """
 
@@ -67,7 +68,7 @@ def fit_pivots(rows: DataFrame, n: int) -> np.ndarray:
     return unit(np.array(out))
 
 
-def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embedding", key: str = "vec_id", pivots: int = 64, depth: int = 12, probes: int = 6, rerank: int = 80, block: int = 8192) -> DataFrame:
+def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embedding", key: str = "vec_id", pivots: int = 128, depth: int = 64, posted: int = 12, probes: int = 12, rerank: int = 80, share: float = 0.1, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     score is the cosine in double precision of the original vectors; ties go to the smaller id. Vectors that are null, zero or
@@ -78,7 +79,7 @@ def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embeddi
     rows = usable(df, vector, key)
     p = fit_pivots(rows, pivots)
     n, d = p.shape
-    depth, probes = min(depth, n), min(probes, n)
+    depth, posted, probes = min(depth, n), min(posted, n), min(probes, n)
     rows = rows.where(F.size("v") == d)
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
@@ -90,7 +91,7 @@ def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embeddi
                 yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "perm": list(x.astype(np.int32))})
 
     idx = table(rows.mapInPandas(index, "vec_id bigint, v array<double>, perm array<int>"), "permutations")
-    posts = idx.withColumn("pivot", F.explode("perm"))
+    posts = idx.withColumn("pivot", F.explode(F.slice("perm", 1, posted)))
     sizes = posts.groupBy("pivot").count().collect()  # a row a pivot
     blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["pivot"], -(-r["count"] // block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     posts = posts.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks[F.col("pivot")]).cast("int"))
@@ -105,7 +106,7 @@ def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embeddi
         for qid, qp, qv in zip(q["query_id"], q["qperm"], q["qv"]):
             rule = footrule(np.asarray(qp), perms, n)
             other = np.flatnonzero(ids != qid)
-            best = other[np.lexsort((ids[other], rule[other]))[:rerank]]
+            best = other[np.lexsort((ids[other], rule[other]))[: max(rerank, int(share * len(ids)))]]
             s = cosine(np.asarray(qv), vecs[best])
             top = np.lexsort((ids[best], -s))[:k]
             out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best[top]], "rule": rule[best[top]], "score": s[top]}))
