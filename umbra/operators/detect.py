@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,8 +260,6 @@ def _rows(spans: list[model.Span]) -> list[dict]:
 
 
 def _python_spans(text: Column, rules: tuple, d: Detection) -> Column:
-    import pandas as pd
-
     wanted = {i for i, _ in rules}
 
     @F.pandas_udf(f"array<{SPAN}>")
@@ -272,8 +271,6 @@ def _python_spans(text: Column, rules: tuple, d: Detection) -> Column:
 
 
 def _ner_spans(text: Column, blanked: Column, d: Detection) -> Column:
-    import pandas as pd
-
     @F.pandas_udf(f"array<{SPAN}>")
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for t, b in pairs:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,21 +37,18 @@ def mask_typed(df: DataFrame, column: str, d: Detection = Detection(), p: Policy
 def mask_free(df: DataFrame, column: str, d: Detection = Detection(), p: Policy = Policy(), max_depth: int = 32, max_items: int = 10_000) -> DataFrame:
     """masked_json and mapping for a column of JSON text, one session a row; integers keep their digits' number whatever
     their size. Null stays null; text that is no JSON, or too deep or large, gives null and its reason in json_error."""
-    import pandas as pd
-
     @F.pandas_udf(f"struct<masked_json:string,mapping:array<{ENTRY}>,json_error:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for x in batch:
-                s = model.Session(d, p, None)
-                out, why = None, None
-                if x is not None:
-                    try:
-                        out = json.dumps(s.mask_json(json.loads(x), max_depth, max_items), ensure_ascii=False)
-                    except (ValueError, RecursionError) as e:
-                        why = "not JSON" if isinstance(e, json.JSONDecodeError) else str(e)
-                rows.append((out, [] if out is None else [{"token": e.token, "entity_type": e.entity_type, "strategy": e.strategy, "reversible": e.reversible, "original": e.original} for e in s.mapping()], why))
-            yield pd.DataFrame(rows, columns=["masked_json", "mapping", "json_error"])
+    def run(batch: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in batch:
+            s = model.Session(d, p, None)
+            out, why = None, None
+            if x is not None:
+                try:
+                    out = json.dumps(s.mask_json(json.loads(x), max_depth, max_items), ensure_ascii=False)
+                except (ValueError, RecursionError) as e:
+                    why = "not JSON" if isinstance(e, json.JSONDecodeError) else str(e)
+            rows.append((out, [] if out is None else [{"token": e.token, "entity_type": e.entity_type, "strategy": e.strategy, "reversible": e.reversible, "original": e.original} for e in s.mapping()], why))
+        return pd.DataFrame(rows, columns=["masked_json", "mapping", "json_error"])
 
     return df.withColumn("_j", run(column)).select(*df.columns, "_j.masked_json", "_j.mapping", "_j.json_error")

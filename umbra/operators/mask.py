@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,8 +159,6 @@ def mask(df: DataFrame, column: str = "text", d: Detection = Detection(), p: Pol
 
 def mask_and_call(df: DataFrame, call, column: str = "text", d: Detection = Detection(), p: Policy = Policy(), out: str = "answer") -> DataFrame:
     """Mask, pass the masked text through call(str) -> str in Arrow batches, restore the answer."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else call(x))

@@ -170,7 +170,7 @@ _CONV = "conv_id, turn, text || ' mail user' || CAST((conv_id + turn % 3) % 7 AS
 
 
 def talks(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "conversations").selectExpr(*_CONV.format(S="STRING").replace(", turn, ", "|turn|").split("|"))
+    return _read(spark, sf, "conversations").selectExpr("conv_id", "turn", _CONV.format(S="STRING").removeprefix("conv_id, turn, "))
 
 
 def session_tokens(spark: SparkSession, sf: str) -> DataFrame:
