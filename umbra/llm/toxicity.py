@@ -75,7 +75,7 @@ def probability(evidence: float, m: ToxicityModel) -> float:
     return float(1 / (1 + np.exp(-np.clip(m.slope * evidence + m.bias, -50, 50))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = 6000, prior: float = 0.02, z: float = 3.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = 6000, prior: float = 0.05, z: float = 4.0) -> ToxicityModel:
     """Counts are of documents that hold a token, so that one text's repetitions are no evidence; prior is the pooled
     distribution's weight as a share of all counts. docs: the rows to learn from. sample: most documents of each label, the first by hash of the id.
 
@@ -128,17 +128,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     x = np.array([sum(max(0.0, lam * s - np.log(k * max(r["n"], 2))) for s in r["all"]) for r in seen])
     y = np.array([float(r["y"]) for r in seen])
     x = np.minimum(x, 30.0)
-    slope, bias = 1.0, -2.0
-    for _ in range(200):  # Newton steps on the ridge-regularised logistic loss
-        p = 1 / (1 + np.exp(-np.clip(slope * x + bias, -50, 50)))
-        g = np.array([((p - y) * x).sum() + 1e-2 * slope, (p - y).sum() + 1e-2 * bias])
+    slope, bias = _logistic(x, y)
+    return ToxicityModel(weights, drift, lam, k, float(max(slope, 1e-3)), float(bias))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Slope and bias of the ridge-regularised logistic curve: Newton steps, halved until the (convex) loss falls."""
+
+    def loss(v):
+        z = v[0] * x + v[1]
+        return (np.logaddexp(0, z) - y * z).sum() + ridge * (v * v).sum() / 2
+
+    v = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(v[0] * x + v[1], -50, 50)))
+        g = np.array([((p - y) * x).sum(), (p - y).sum()]) + ridge * v
         w = p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
-        slope, bias = slope - step[0], bias - step[1]
-        if abs(step).max() < 1e-9:
+        h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+        if abs(size * step).max() < 1e-9:
             break
-    return ToxicityModel(weights, drift, lam, k, float(max(slope, 1e-3)), float(bias))
+    return float(v[0]), float(v[1])
 
 
 def _raw(text: str, m: ToxicityModel) -> tuple[int, list[float]]:
