@@ -1,0 +1,275 @@
+"""Toxicity, SimHash, secrets, chunks, BPE and language against brute force and planted cases."""
+
+import base64
+import gzip
+import hashlib
+import itertools
+import random
+import re
+import urllib.parse
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SF
+from umbra.llm import bpe, chunks, language, secrets, simhash, toxicity
+
+DOCS = "doc_id long, text string, score double, fp string, k int"
+EDGE = [(1, None, 0.5, "x", 1), (2, "", None, None, 2), (3, "  \t\n", 0.1, "y", None), (4, "same words here again and again", 0.0, "z", 4), (4, "same words here again and again", 0.0, "z", 4), (None, "no id", 1.0, "q", 1), (6, "w " * 30000, 1.0, "q", 1), (7, "12 34 !!", 1.0, "q", 1)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(EDGE, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def best_segments(scores):
+    """All maximal segments by definition: take the best, recurse to its left and right."""
+    best, at = 0.0, None
+    for i, j in itertools.combinations(range(len(scores) + 1), 2):
+        if (s := sum(scores[i:j])) > best + 1e-9:
+            best, at = s, (i, j)
+    if at is None:
+        return []
+    i, j = at
+    return [(a, b, s) for a, b, s in best_segments(scores[:i])] + [(i, j - 1, best)] + [(a + j, b + j, s) for a, b, s in best_segments(scores[j:])]
+
+
+def test_segments_are_the_maximal_ones():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, drift = rng.randint(0, 14), -0.5
+        hits = sorted(rng.sample(range(n), rng.randint(0, n)))
+        hits = [(i, rng.choice([-2.25, -1.125, 1.75, 3.0625])) for i in hits]
+        scores = [drift] * n
+        for i, w in hits:
+            scores[i] = w
+        got = toxicity.segments(n, hits, drift)
+        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in best_segments(scores)))
+        assert max([s for *_, s in got], default=0) == pytest.approx(max([s for *_, s in best_segments(scores)], default=0))
+
+
+def test_logistic_settles_where_newton_overshoots():
+    x = np.r_[np.zeros(5000), np.full(50, 30.0)]
+    y = np.r_[np.zeros(5000), np.ones(50)]
+    slope, bias = toxicity._logistic(x, y)
+    assert np.isfinite([slope, bias]).all() and slope > 0 and bias < -2
+
+
+def test_toxicity_held_out_and_edges(spark, edge, empty):
+    p = toxicity.op1(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("y")), "doc_id").toPandas()
+    assert set(p.columns) >= {"doc_id", "held_out", "score", "predicted"}
+    t = p[p.held_out]
+    assert ((t.predicted == t.y).mean()) > 0.9 and t[t.y == 1].score.mean() > t[t.y == 0].score.mean() + 0.3
+    assert p.score.between(0, 1).all() and ((p.score >= 0.5) == (p.predicted == 1)).all()
+    m = toxicity.ToxicityModel({"idiot": 6.0}, -0.02, 1.0, 0.01, 1.0, -3.0)
+    r = toxicity.score(edge, m).collect()
+    assert len(r) == len(EDGE) and all(x["predicted"] == 0 for x in r)
+    assert toxicity.score(empty, m).count() == 0 and toxicity.keep_clean(edge, m).count() == len(EDGE)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(edge, labels).weights == {}
+
+
+def groups_by_force(texts, size, radius):
+    fps = [int(simhash.fingerprint(simhash.shingle_hashes(t, size))[0]) for _, t in texts]
+    root = {i: i for i in range(len(texts))}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= radius:
+            root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(texts):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted((str(d), f"{fps[i]:016x}", str(low.get(find(i)))) for i, (d, _) in enumerate(texts))
+
+
+def test_simhash_against_force(spark, edge, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
+    want = groups_by_force(rows, 3, 2)
+    for most in (4096, 3):
+        got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.near_duplicates(docs, most=most).collect())
+        assert got == want
+    e = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.near_duplicates(edge).collect())
+    assert e == groups_by_force([(x[0], x[1]) for x in EDGE], 3, 2)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_fingerprint_by_definition(spark):
+    import xxhash
+
+    for text in ("A b\x0bC d e", "one", "a b", "", None, "É x y Z"):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if x]
+        sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+        assert int(simhash.fingerprint(simhash.shingle_hashes(text, 3))[0]) == want
+
+
+def test_large_groups_compared_in_tiles():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    fps[700:720] = fps[3] ^ (np.uint64(1) << np.arange(20, dtype=np.uint64))
+    pc = np.bitwise_count(fps).astype(int)
+    order = np.argsort(pc, kind="stable")
+    fps, pc = fps[order], pc[order]
+    a, b = simhash.near_in_groups(np.zeros(1500, int), fps[:, None], pc, 2)
+    want = {(i, j) for i in range(1500) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 2) + i + 1}
+    assert set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_wide_fingerprints_link_what_is_08_similar_and_nothing_unrelated(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(300)]
+        for c in range(3):
+            w = list(base)
+            for i in rng.sample(range(300), 4 * c):
+                w[i] = word()
+            rows.append((len(rows), " ".join(w)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, shingle=5, lanes=4, radius=48, bands=40).collect()}
+    assert len(alike) >= 60 and sum(got[i] == got[j] for i, j in alike) >= 0.97 * len(alike)
+    assert all(got[i] // 3 == i // 3 for i in got)
+
+
+def test_secrets_base_by_definition(spark):
+    kinds = {"assign": re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
+    least = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    rng = random.Random(2)
+    bits = ["password", "Token", "API_KEY", "apikey", '"', "'", ":", "=", " ", "  ", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "secret=", "x", "é", "😀", "ſecret: abcdefgh", "%3D", "token=token: abcdefgh"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        want = sorted((m.start(), m.end(), secrets.KINDS.index(k)) for k, p in kinds.items() for m in p.finditer(t) if least[k](m))
+        assert secrets.base_spans(t) == want
+        base, every = secrets.scan(t)
+        assert base == want and set(base) <= set(every)
+
+
+def test_secrets_unwrap_nested_layers():
+    inner = "token = hunter22hunter"
+    plain = lambda t: [(k, t[a:b]) for a, b, k in secrets.scan(t)[1]]
+    url = urllib.parse.quote(inner, safe="")
+    b64 = base64.b64encode(inner.encode()).decode()
+    twice = base64.b64encode(urllib.parse.quote(b64, safe="").encode()).decode()
+    packed = base64.b64encode(gzip.compress(inner.encode())).decode()
+    escaped = "".join(f"\\u{ord(c):04x}" for c in inner)
+    for blob in (url, b64, twice, packed, escaped, inner.encode().hex()):
+        text = f"é😀 before {blob} after"
+        got = [s for s in secrets.scan(text)[1] if s[2] == 0]
+        assert got, blob
+        assert all(text.index(blob) <= a < b <= text.index(blob) + len(blob) for a, b, _ in got), (blob, got)
+    assert plain("%25%32%35%25 nothing") == []
+    bomb = base64.b64encode(gzip.compress(b"a" * 50_000_000)).decode()
+    assert secrets.scan(bomb)[1] == []
+
+
+def test_secrets_on_tables(spark, edge, empty):
+    r = secrets.op3(spark, SF).toPandas()
+    docs = {x[0]: x[1] for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for x in r.itertuples():
+        want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in sorted(secrets.base_spans(docs[x.doc_id]), key=lambda s: (s[0], s[2])))
+        assert x.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert r.n_assign.sum() > 0
+    assert secrets.find_secrets(edge).count() == len(EDGE) and secrets.find_secrets(empty).count() == 0
+    red = secrets.redacted(spark.createDataFrame([(1, "my token=abcdefgh12 ok"), (2, None)], "doc_id long, text string")).collect()
+    assert red[0]["text"] == "my [SECRET] ok" and red[1]["text"] is None
+
+
+def test_chunks_resist_insertions_and_find_passages(spark, edge, empty):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    base = " ".join(word() for _ in range(2000)).encode()
+    cut = lambda d: {d[i:j] for i, j in zip([0, *chunks.cuts(d, 24, 8)], chunks.cuts(d, 24, 8))}
+    assert len(cut(base) - cut(base[:3000] + b"INSERTED" + base[3000:])) <= 4
+    slow = []
+    for i in range(200):
+        slow.append(sum(int(chunks.GEAR[base[j]]) << (i - j) for j in range(max(0, i - 31), i + 1)) & 0xFFFFFFFF)
+    assert chunks.rolling(base)[:200].tolist() == slow
+    rows, planted = [], set()
+    for p in range(150):
+        passage = " ".join(word() for _ in range(51))
+        for c in range(2):
+            d = len(rows)
+            planted.add(d)
+            rows.append((d, " ".join(word() for _ in range(80)) + " " + passage + " " + " ".join(word() for _ in range(80))))
+    clean = set(range(len(rows), len(rows) + 200))
+    rows += [(d, " ".join(word() for _ in range(150)) + " one short line that many texts share.") for d in clean]
+    got = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {r["doc_id"] for r in got}
+    assert len(planted - hit) <= 4 and not hit & clean
+    for r in got:
+        data = rows[r["doc_id"]][1].encode()[r["start"] : r["end"]]
+        assert data in rows[r["first_doc_id"]][1].encode()
+    assert chunks.repeated_passages(edge).count() == 0 and chunks.repeated_passages(empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(spark, tokenizers, edge, empty):
+    ours, theirs = tokenizers
+    rng = random.Random(4)
+    parts = ["a", "the", "ing", " ", "  ", "\n", "é", "漢", "😀", "1", "''", "'s", " ", "\x1c", "<|endoftext|>", "==", "ABC", "́"]
+    for _ in range(4000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
+        assert ours.encode(s) == theirs.encode_ordinary(s), s
+        assert ours.decode(ours.encode(s)) == s.encode()
+    docs = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in bpe.op5(spark, SF).collect():
+        ids = theirs.encode_ordinary(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest())
+    assert bpe.public(edge).count() == len(EDGE) and bpe.public(empty).count() == 0
+    assert [r["n_tokens"] for r in bpe.public(edge).where("doc_id <= 2").collect()] == [0, 0]
+
+
+def test_bpe_appends_and_edits_are_exact(tokenizers):
+    v = tokenizers[0].v
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"thionareing st") for _ in range(400))
+    p = bpe.Prefixes(v, data[:100])
+    p.append(data[100:])
+    whole = bpe.Prefixes(v, data)
+    assert p.tokens() == whole.tokens() and p.ends == whole.ends
+    for _ in range(30):
+        a = rng.randint(0, 390)
+        b = a + rng.randint(0, 9)
+        new = bytes(rng.choice(b"thionareing st") for _ in range(rng.randint(0, 9)))
+        want = p.data[:a] + new + p.data[b:]
+        done = p.edit(a, b, new)
+        assert p.data == want and p.ends == bpe.Prefixes(v, want).ends and done <= len(want)
+
+
+def test_language_held_out_and_edges(spark, edge, empty):
+    p = language.op6(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    t = p[p.held_out]
+    assert (t.lang_pred == t.lang).mean() > 0.97 and p.score.between(0, 1).all()
+    m = language.LanguageModel(["a", "b"], np.zeros((language.BUCKETS, 2)), np.array([0.0, 1.0]), 1.0, 0.5)
+    got = [(r["doc_id"], r["lang_pred"]) for r in language.identify(edge, m).collect()]
+    assert [x for _, x in got] == ["und", "und", "und", "b", "b", "b", "b", "und"]
+    assert language.identify(empty, m).count() == 0
+    none = language.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
+    assert {r["lang_pred"] for r in language.identify(edge, none).collect()} == {"und"}
