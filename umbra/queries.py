@@ -188,8 +188,8 @@ def session_back(spark: SparkSession, sf: str) -> DataFrame:
 
 _TALKS = f"texts AS (SELECT conv_id * 1000 + turn AS doc_id, {_CONV.format(S='VARCHAR')} FROM conversations), {rule_ctes('email')}"
 SESSION_SQL = f"""WITH {_TALKS},
-firsts AS (SELECT conv_id, value, min(turn * 1000000 + start) AS at FROM f_email JOIN texts USING (doc_id) GROUP BY conv_id, value)
-SELECT conv_id, '<EMAIL_' || CAST(row_number() OVER (PARTITION BY conv_id ORDER BY at, value) AS VARCHAR) || '>' AS token, 'EMAIL' AS entity_type, value AS original FROM firsts"""
+firsts AS (SELECT conv_id, value, min(turn * 1000000 + start) AS seen FROM f_email JOIN texts USING (doc_id) GROUP BY conv_id, value)
+SELECT conv_id, '<EMAIL_' || CAST(row_number() OVER (PARTITION BY conv_id ORDER BY seen, value) AS VARCHAR) || '>' AS token, 'EMAIL' AS entity_type, value AS original FROM firsts"""
 
 
 # ---- JSON ----------------------------------------------------------------------------------------------------------------------------
