@@ -159,7 +159,7 @@ def _any(tests: list[Column]) -> Column:
 
 
 def candidates(text: Column, d: Detection) -> Column:
-    """All rules' spans over one text, in rule order. Rules for Python's engine are not in here: see with_python_rules."""
+    """All rules' spans over one text, in rule order. Rules for Python's engine are not in here: see detect."""
     parts = [rule_spans(text, r, i, d) for i, r in d.active() if splittable(r)]
     return F.concat(*parts) if parts else nothing()
 
@@ -246,39 +246,25 @@ def detect(df: DataFrame, column: str = "text", d: Detection = Detection(), out:
     if not python_rules and not d.ner:
         spans = let(candidates(t, d), lambda c: exclude(resolve(c, t, d), d))
         return df.withColumn(out, F.when(t.isNotNull(), spans))
-    cand = "_candidates"
-    df = df.withColumn(cand, F.when(t.isNotNull(), candidates(t, d)))
-    if python_rules:
-        df = df.withColumn(cand, F.concat(cand, _python_spans(t, tuple(python_rules), d)))
-    if d.ner:
-        df = df.withColumn(cand, F.concat(cand, _ner_spans(t, excise(t, resolve(F.col(cand), t, d)), d)))
-    return df.withColumn(out, F.when(t.isNotNull(), exclude(resolve(F.col(cand), t, d), d))).drop(cand)
+    return df.withColumn(out, _python_detect(t, d))
 
 
 def _rows(spans: list[model.Span]) -> list[dict]:
     return [{"start": s.start, "end": s.end, "entity_type": s.entity_type, "score": s.score, "recognizer": s.recognizer, "text": s.text, "validated": s.validated, "explanation": list(s.explanation), "ordinal": s.ordinal} for s in spans]
 
 
-def _python_spans(text: Column, rules: tuple, d: Detection) -> Column:
-    wanted = {i for i, _ in rules}
+def _python_detect(text: Column, d: Detection) -> Column:
+    """The whole run in Arrow batches, for a named-entity model or patterns that only Python's engine knows. A model is
+    loaded by the function itself, once a worker."""
 
     @F.pandas_udf(f"array<{SPAN}>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: None if t is None else _rows([x for x in model.candidates(t, d) if x.ordinal in wanted]))
+            yield s.map(lambda t: None if t is None else _rows(model.detect(t, d)))
 
     return run(text)
 
 
-def _ner_spans(text: Column, blanked: Column, d: Detection) -> Column:
-    @F.pandas_udf(f"array<{SPAN}>")
-    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, b in pairs:
-            yield pd.Series([None if x is None else _rows(model.named(x, y, d)) for x, y in zip(t, b)])
-
-    return run(text, blanked)
-
-
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:
     """One row a finding: df's other columns, then the span's fields."""
     return df.withColumn("_s", F.explode(spans)).select(*[c for c in df.columns if c != spans], *[F.col(f"_s.{x}").alias(x if x != "text" else "value") for x in ("start", "end", "entity_type", "score", "recognizer", "text", "validated", "explanation")])

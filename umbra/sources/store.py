@@ -55,7 +55,7 @@ class MemoryStore:
 class RedisStore:
     """Named for completeness: every call raises NotImplementedError."""
 
-    def save(self, session_id: str, mapping: list[Entry]) -> None:
+    def save(self, *_) -> None:
         raise NotImplementedError("no Redis store is provided")
 
     load = delete = save
