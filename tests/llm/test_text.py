@@ -176,7 +176,7 @@ def test_secrets_unwrap_nested_layers():
         assert got, blob
         assert all(text.index(blob) <= a < b <= text.index(blob) + len(blob) for a, b, _ in got), (blob, got)
     assert plain("%25%32%35%25 nothing") == []
-    bomb = base64.b64encode(gzip.compress(b"a" * 50_000_000)).decode()
+    bomb = base64.b64encode(gzip.compress(b"x" * 50_000_000)).decode()
     assert secrets.scan(bomb)[1] == []
 
 
