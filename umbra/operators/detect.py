@@ -265,6 +265,12 @@ def _python_detect(text: Column, d: Detection) -> Column:
     return run(text)
 
 
+def each(df: DataFrame, spans: Column | str, out: str = "s") -> DataFrame:
+    """One row an element, in column out. Outer, and nulls filtered afterwards: for a plain explode the optimizer adds
+    filters on the array's size below it, which would evaluate the whole expression again."""
+    return df.withColumn(out, F.explode_outer(spans)).where(F.col(out).isNotNull())
+
+
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:
     """One row a finding: df's other columns, then the span's fields."""
-    return df.withColumn("_s", F.explode(spans)).select(*[c for c in df.columns if c != spans], *[F.col(f"_s.{x}").alias(x if x != "text" else "value") for x in ("start", "end", "entity_type", "score", "recognizer", "text", "validated", "explanation")])
+    return each(df, spans, "_s").select(*[c for c in df.columns if c != spans], *[F.col(f"_s.{x}").alias(x if x != "text" else "value") for x in ("start", "end", "entity_type", "score", "recognizer", "text", "validated", "explanation")])

@@ -82,8 +82,14 @@ def strategy_of(entity: Column, p: Policy) -> Column:
     return out
 
 
-def _tries(entity: str, value: Column, secret: bytes) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda k: surrogates.native(entity, value, secret, k))
+def _first_free(entity: str, value: Column, text: Column, taken: Column, secret: bytes) -> Column:
+    """Tries end at the first free value: the later ones are not computed."""
+
+    def step(found: Column, k: Column) -> Column:
+        made = let(surrogates.native(entity, value, secret, k), lambda c: F.when(~F.array_contains(taken, c) & ~F.contains(text, c) & (c != value), c))
+        return F.when(found.isNotNull(), found).otherwise(made)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("string"), step)
 
 
 def surrogate(entity: Column, value: Column, text: Column, taken: Column, p: Policy) -> Column:
@@ -92,8 +98,7 @@ def surrogate(entity: Column, value: Column, text: Column, taken: Column, p: Pol
     for t in (*surrogates.HAS, *surrogates.EXTRA):
         if t in surrogates.EXTRA or p.of(t) != "surrogate":
             continue
-        free = F.filter(_tries(t, value, p.secret), lambda c: ~F.array_contains(taken, c) & ~F.contains(text, c) & (c != value))
-        out = F.when(entity == t, F.get(free, F.lit(0))).otherwise(out)
+        out = F.when(entity == t, _first_free(t, value, text, taken, p.secret)).otherwise(out)
     return out
 
 

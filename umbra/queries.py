@@ -57,7 +57,7 @@ def rule_query(i: int):
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         d = Detection(rules=(rule,), keywords={}, threshold=0.0)
-        s = texts(spark, sf).select("doc_id", F.explode(det.candidates(F.col("text"), d)).alias("s"))
+        s = det.each(texts(spark, sf), det.candidates(F.col("text"), d))
         return s.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("value"))
 
     return run
@@ -113,7 +113,7 @@ def pools(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolved(spark: SparkSession, sf: str, d: Detection) -> DataFrame:
     p = pools(spark, sf)
-    r = p.select("doc_id", F.explode(det.resolve(F.col("spans"), F.col("text"), d)).alias("s"))
+    r = det.each(p, det.resolve(F.col("spans"), F.col("text"), d))
     return r.select("doc_id", *[F.col(f"s.{c}").alias(c) for c in ("start", "end", "entity_type", "score", "recognizer", "validated")])
 
 
@@ -233,7 +233,7 @@ CUSTOM = Detection(rules=(), keywords={}, custom=(Rule("LICENSE_LINE", r"Release
 _email = f"WITH {TEXTS}, {rule_ctes('email')} "
 
 QUERIES = {f"q{i + 1:02d}_{n}_spans": rule_query(i) for i, n in enumerate(NAMES)} | {
-    "q20_candidates_scored": lambda s, f: texts(s, f).select("doc_id", F.explode(det.candidates(F.col("text"), Detection(threshold=0.0))).alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type", "s.score", "s.validated"),
+    "q20_candidates_scored": lambda s, f: det.each(texts(s, f), det.candidates(F.col("text"), Detection(threshold=0.0))).select("doc_id", "s.start", "s.end", "s.entity_type", "s.score", "s.validated"),
     "q21_resolved_strict": lambda s, f: resolved(s, f, Detection(threshold=0.0)),
     "q22_resolved_contained": lambda s, f: resolved(s, f, Detection(threshold=0.0, overlap=CONTAINED)),
     "q23_resolved_merge": lambda s, f: resolved(s, f, Detection(threshold=0.0, overlap=MERGE)),
