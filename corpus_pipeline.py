@@ -19,11 +19,16 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies: five-word shingles, similarity of 0.8 or more as told by
-    256-bit fingerprints (a Jaccard similarity of 0.8 is an expected 39 differing bits)."""
-    near = simhash.near_duplicates(docs, shingle=5, lanes=4, radius=48, bands=40, band_width=14)
-    keep = near.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one row of each group of near copies, that with the smallest id: five-word shingles, similarity of 0.8 or
+    more as told by 256-bit fingerprints (a Jaccard similarity of 0.8 is an expected 39 differing bits).
+
+    A row is told by its id and its text, so different texts with one id are judged separately; null ids come last.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+    docs = docs.withColumn("_row", row)
+    near = simhash.near_duplicates(docs, key="_row", shingle=5, lanes=4, radius=48, bands=40, band_width=14)
+    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxic_out), ("simhash", near_copies_out), ("secrets", secrets_out), ("mixing", mixed), ("bpe", encoded)]
-#: SQL can't express the stages: tests/llm/test_pipeline.py holds them against a brute-force version.
+#: SQL can't express the stages: test_pipeline_stages in tests/llm/test_data.py holds them against plain versions.
 ORACLE_SQL = None
 
 

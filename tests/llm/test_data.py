@@ -197,5 +197,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash", "secrets", "mixing", "bpe"]
 
 
+def test_pipeline_near_copies_keep_unnamed_rows_and_texts_of_one_id(spark):
+    import corpus_pipeline as cp
+
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(7, word(1)), (3, word(1)), (None, word(1)), (5, word(2)), (5, word(3)), (5, word(3)), (None, word(4)), (None, word(4)), (None, word(5)), (9, None), (8, ""), (2, word(2) + " tail")]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_copies_out(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(3, word(1)), (2, word(2) + " tail"), (5, word(3)), (None, word(4)), (None, word(5)), (8, "")], key=str)
+    assert cp.near_copies_out(spark, docs.limit(0), SF).count() == 0
+
+
 def F_sum(df):
     return df.select(F.sum(mixing.words(F.col("text")))).first()[0]
