@@ -19,14 +19,14 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies, that with the smallest id: five-word shingles, similarity of 0.8 or
-    more as told by 256-bit fingerprints (a Jaccard similarity of 0.8 is an expected 39 differing bits).
+    """Keeps one row of each group of near copies, that with the smallest id: a Jaccard
+    similarity of five-word shingles of 0.8 or more; candidates are told by 256-bit fingerprints, each link is recomputed.
 
     A row is told by its id and its text, so different texts with one id are judged separately; null ids come last.
     """
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
     docs = docs.withColumn("_row", row)
-    near = simhash.near_duplicates(docs, key="_row", shingle=5, lanes=4, radius=48, bands=40, band_width=14)
+    near = simhash.near_copies(docs, key="_row")
     keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
     return docs.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 

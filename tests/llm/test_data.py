@@ -208,5 +208,43 @@ def test_pipeline_near_copies_keep_unnamed_rows_and_texts_of_one_id(spark):
     assert cp.near_copies_out(spark, docs.limit(0), SF).count() == 0
 
 
+def test_pipeline_near_copies_are_exactly_those_of_08(spark):
+    """The stage against components over exact similarities, on texts from 0.55 to 0.95 alike and a dense group."""
+    import corpus_pipeline as cp
+    from umbra.llm import simhash
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for g in range(240):
+        base = [word() for _ in range(rng.choice((30, 120, 300)))]
+        cut = int(len(base) * rng.uniform(0.03, 0.25))
+        texts += [" ".join(base), " ".join(base[cut:] + [word() for _ in range(cut)])]
+    base = [word() for _ in range(200)]
+    for c in range(300):  # one large group: some of it under 0.8 to each other
+        w = list(base)
+        for i in rng.sample(range(200), rng.choice((1, 4, 8))):
+            w[i] = word()
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in cp.near_copies_out(spark, docs, SF).collect()}
+    assert not want - got and len(got - want) <= 1
+
+
 def F_sum(df):
     return df.select(F.sum(mixing.words(F.col("text")))).first()[0]

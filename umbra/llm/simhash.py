@@ -78,8 +78,12 @@ def band_keys(fp: np.ndarray, chosen: np.ndarray) -> list[int]:
     return ((b << np.arange(chosen.shape[1])).sum(1) + (np.arange(len(chosen)) << 40)).tolist()
 
 
-def near_in_groups(group: np.ndarray, fps: np.ndarray, pc: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same group within the radius. Rows are sorted by group, then population count."""
+def near_in_groups(group: np.ndarray, fps: np.ndarray, pc: np.ndarray, radius: int, dense: set[int] | None = None, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same group within the radius. Rows are sorted by group, then population count.
+
+    A dense tile gives a forest of its links; with `dense`, each row's nearest earlier row instead, and the group's first
+    row is added to `dense`; with `whole`, all pairs.
+    """
     cut = np.flatnonzero(np.diff(group)) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(group)]
     size = last - first
@@ -111,7 +115,17 @@ def near_in_groups(group: np.ndarray, fps: np.ndarray, pc: np.ndarray, radius: i
                 x, y = np.nonzero(apart <= radius)
                 up = x + i < y + j
                 x, y = x[up] + i, y[up] + j
-                if len(x) > 4 * (ie - i + je - j):  # a forest of a dense tile says the same
+                if whole:
+                    pass
+                elif dense is not None:
+                    if len(x) > 32 * (ie - i + je - j):
+                        dense.add(int(f))
+                        far = np.full(apart.shape, 1 << 30, np.int32)
+                        far[x - i, y - j] = apart[x - i, y - j]
+                        x, y = far.argmin(0) + i, np.arange(j, je)
+                        some = far.min(0) <= radius
+                        x, y = x[some], y[some]
+                elif len(x) > 4 * (ie - i + je - j):  # a forest of a dense tile says the same
                     lab = forest(ie - i + je - j, x - i, y - j + (ie - i if i != j else 0))
                     of = np.r_[np.arange(i, ie), np.arange(j, je)] if i != j else np.arange(i, ie)
                     x = of[lab[: len(of)]]
@@ -122,18 +136,8 @@ def near_in_groups(group: np.ndarray, fps: np.ndarray, pc: np.ndarray, radius: i
     return (np.concatenate(a_all), np.concatenate(b_all)) if a_all else (np.zeros(0, np.int64),) * 2
 
 
-def _linker(radius: int, lanes: int):
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def link(rows: pa.Table) -> pa.RecordBatch:
-        key, tile, node, pc = (rows.column(n).to_numpy() for n in ("key", "tile", "node", "pc"))
-        fps = np.stack([rows.column(f"f{i}").to_numpy() for i in range(lanes)], 1).view(np.uint64)
-        new = np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
-        a, b = near_in_groups(np.cumsum(new), fps, pc, radius)
-        ids, at = np.unique(node, return_inverse=True)
-        lab = forest(len(ids), at[a], at[b])
-        linked = np.flatnonzero(lab != np.arange(len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[lab[linked]])], schema=out)
+def _by_group(link):
+    """A mapInArrow function: link(rows) of whole (key, tile) groups, about 50000 rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -160,6 +164,121 @@ def _linker(radius: int, lanes: int):
     return run
 
 
+def _linker(radius: int, lanes: int):
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def link(rows: pa.Table) -> pa.RecordBatch:
+        key, tile, node, pc = (rows.column(n).to_numpy() for n in ("key", "tile", "node", "pc"))
+        fps = np.stack([rows.column(f"f{i}").to_numpy() for i in range(lanes)], 1).view(np.uint64)
+        new = np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
+        a, b = near_in_groups(np.cumsum(new), fps, pc, radius)
+        ids, at = np.unique(node, return_inverse=True)
+        lab = forest(len(ids), at[a], at[b])
+        linked = np.flatnonzero(lab != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[lab[linked]])], schema=out)
+
+    return _by_group(link)
+
+
+PAIRS = "a bigint, b bigint, key bigint, tile int"
+
+
+def _candidates(radius: int, lanes: int, least: float, labelled: bool):
+    """Pairs within the radius whose set sizes allow a similarity of `least`. In dense groups the nearest ones, and a row
+    with the group's key and tile; if labelled, all whose labels differ."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("tile", pa.int32())])
+
+    def link(rows: pa.Table) -> pa.RecordBatch:
+        key, tile, node, pc, size = (rows.column(n).to_numpy() for n in ("key", "tile", "node", "pc", "size"))
+        fps = np.stack([rows.column(f"f{i}").to_numpy() for i in range(lanes)], 1).view(np.uint64)
+        new = np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
+        dense: set[int] = set()
+        a, b = near_in_groups(np.cumsum(new), fps, pc, radius, dense, whole=labelled)
+        ok = np.minimum(size[a], size[b]) + 1e-9 >= least * np.maximum(size[a], size[b])
+        if labelled:
+            label = rows.column("label").to_numpy()
+            ok &= label[a] != label[b]
+        a, b = node[a[ok]], node[b[ok]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        at = np.array(sorted(dense), np.int64)
+        none, gap = [None] * len(at), [None] * len(pairs)
+        cols = pairs[:, 0].tolist() + none, pairs[:, 1].tolist() + none, gap + key[at].tolist(), gap + tile[at].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+
+    return _by_group(link)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least `least`."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both + 1e-9 >= least * (len(a) + len(b) - both)
+
+
+def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", least: float = 0.8, shingle: int = 5, lanes: int = 4, radius: int = 64, bands: int = 96, band_width: int = 14, most: int = 4096) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable over links): linked are texts whose sets of shingles have a Jaccard
+    similarity of `least` or more, recomputed for each candidate; texts without a word have the same, empty set.
+
+    Candidates: fingerprints of the sets (repeats count once) within `radius`, met by `bands` samples of `band_width` bits.
+    First all candidates but those of dense groups, of which each row gives its nearest; then what is left of the dense
+    groups between different components. So a candidate pair is checked unless its texts are connected already.
+    """
+    chosen = band_bits(64 * lanes, bands, band_width)
+
+    def start():
+        def f(c):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in c["t"]]
+            fps = [fingerprint(x, lanes) for x in sets]
+            return {"id": c["id"], "th": c["th"], "node": [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in sets], "size": [len(x) for x in sets], "fp": [x.view(np.int64).tolist() for x in fps], "pc": [int(np.bitwise_count(x).sum()) for x in fps]}
+
+        return f
+
+    def keys():
+        return lambda c: c | {"keys": [band_keys(np.array(x, np.int64).view(np.uint64), chosen) for x in c["fp"]]}
+
+    def shingles():
+        def f(c):
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in c["t"]]
+            return {"node": [xxhash.xxh3_64_intdigest(x) >> 1 for x in sets], "set": sets}
+
+        return f
+
+    def judge():
+        return lambda c: {"a": c["a"], "b": c["b"], "ok": [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(c["x"], c["y"])]}
+
+    kind = docs.schema[key].dataType.simpleString()
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    made = table(map_rows(texts, f"id {kind}, th bigint, node bigint, size int, fp array<bigint>, pc int", start), "simhash")
+    classes = table(made.groupBy("node").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("th", "size", "fp", "pc")]), "classes")
+    keyed = map_rows(classes.where("size > 0").select("node", "size", "pc", "fp"), "node bigint, size int, pc int, fp array<bigint>, keys array<bigint>", keys)
+    keyed = keyed.select("node", "size", "pc", *[F.col("fp")[i].alias(f"f{i}") for i in range(lanes)], F.explode("keys").alias("key"))
+
+    def met(rows: DataFrame, labelled: bool) -> DataFrame:
+        in_order = rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "pc", "node")
+        return table(in_order.mapInArrow(_candidates(radius, lanes, least, labelled), PAIRS), "candidates")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = table(pairs.where("a is not null").select("a", "b").distinct(), "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        one = texts.join(classes.join(nodes, "node", "left_semi").select("th").distinct(), "th", "left_semi").select("t")
+        sets = table(map_rows(one, "node bigint, set binary", shingles).groupBy("node").agg(F.first("set").alias("set")), "sets")
+        side = lambda n, s: sets.select(F.col("node").alias(n), F.col("set").alias(s))
+        return table(map_rows(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b"), "a bigint, b bigint, ok boolean", judge).where("ok").select("a", "b"), "links")
+
+    tiles = split_hot(keyed, "key", "node", most)
+    first = met(tiles, False)
+    links = checked(first)
+    roots = components(links, "simhash-cc")
+    dense = first.where("a is null").select("key", "tile").distinct()
+    if dense.limit(1).count():
+        label = F.coalesce("root", "node")
+        left = tiles.join(dense, ["key", "tile"], "left_semi").join(roots, "node", "left").withColumn("label", label).drop("root")
+        roots = components(links.union(checked(met(left, True))), "simhash-cc")
+    named = classes.join(roots, "node")
+    linked = named.join(named.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
+    of_class = classes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("component", "low").alias("component_id"))
+    return made.select(F.col("id").alias("doc_id"), "node").join(of_class, "node").select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, lanes: int = 1, radius: int = 2, blocks: int = 4, bands: int = 0, band_width: int = 14, most: int = 4096) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links of at most `radius` bits).
 
