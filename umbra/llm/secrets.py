@@ -1,15 +1,16 @@
 """Secret scans with a recursive decoding worklist.
 
 A layer is a text and a map from its offsets to the document's. The document is the first layer. Each layer is
-scanned with the base patterns; then its URL escapes, Unicode escapes, and base64 or hexadecimal runs are decoded
-(bytes that are gzip or zlib streams are decompressed), and every decoded text that was not seen with the same place
-before (cycle detection) joins the worklist. Work ends when no layer decodes to anything new.
+scanned with the base patterns; then its URL escapes, Unicode escapes, and base64 or hexadecimal runs are decoded, and
+every decoded text that was not seen with the same place before (cycle detection) joins the worklist. Runs are joined
+over line breaks and decoded at each phase of their groups, as a word before them may be of the same letters; of the
+bytes, plain stretches and gzip or zlib streams are taken wherever they begin. Work ends when no layer decodes to
+anything new.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
 import hashlib
 import re
@@ -31,8 +32,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNI = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 UNI_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
-B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-HEXRUN = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}")
+#: A line break as it is or escaped, with the blanks around it; runs go on over it.
+BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t]*")
+B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:%(b)s[A-Za-z0-9+/_-]{16,})*(?:%(b)s[A-Za-z0-9+/_-]+)?={0,2}" % {"b": BREAK.pattern})
+HEXRUN = re.compile(r"[0-9A-Fa-f]{32,}(?:%(b)s[0-9A-Fa-f]{32,})*(?:%(b)s[0-9A-Fa-f]+)?" % {"b": BREAK.pattern})
+#: Decoded bytes that may hold a secret, which is all ASCII and has 12 characters at least.
+PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+#: A gzip header, or a zlib header but for its check.
+STREAM = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])")
 #: A decompressed layer may be this many times its document's size plus a mebibyte: the guard against bombs.
 EXPANSION, EXPANSION_FLOOR = 1000, 1 << 20
 
@@ -98,21 +105,62 @@ def _text(data: bytes) -> str | None:
     return s if s and sum(c.isprintable() or c in "\t\n\r" for c in s) >= 0.95 * len(s) else None
 
 
+def _heads(data: bytes) -> list[int]:
+    """Where a gzip or zlib stream may begin."""
+    return [i for m in STREAM.finditer(data) if data[i := m.start()] == 0x1F or ((data[i] << 8) + data[i + 1]) % 31 == 0 and not data[i + 1] & 0x20]
+
+
 def _inflate(data: bytes, most: int) -> bytes | None:
-    """Unwrap gzip and zlib streams until the bytes are neither; None if they are broken, or larger than most."""
+    """All streams one after the other at the start of data, unwrapped until the bytes are none; None if broken from the
+    start, or larger than most. Of a stream that breaks off, what came before."""
     seen = False
-    while data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-        try:
+    while 0 in _heads(data[:3]):
+        rest, parts, n = data, [], 0
+        while 0 in _heads(rest[:3]):
             d = zlib.decompressobj(47)
-            new = d.decompress(data, most)
-        except zlib.error:
-            return data if seen or _text(data) else None
-        if not d.eof and d.unconsumed_tail:
-            return None
+            try:
+                new = d.decompress(rest, most - n + 1)
+            except zlib.error:
+                new = _before_error(rest, most - n + 1)
+                d = None
+            n += len(new)
+            if n > most:
+                return None
+            parts.append(new)
+            if d is None or not d.eof:
+                break
+            rest = d.unused_data.lstrip(b"\0")
+        new = b"".join(parts)
         if not new or new == data:
-            return None
+            break
         data, seen = new, True
-    return data
+    return data if seen else None
+
+
+def _before_error(data: bytes, most: int) -> bytes:
+    """What a broken stream gives before its fault, fed by 64 bytes; nothing if the fault is in the first."""
+    d, out = zlib.decompressobj(47), []
+    try:
+        for at in range(0, len(data), 64):
+            out.append(d.decompress(data[at : at + 64], max(1, most)))
+            most -= len(out[-1])
+            if d.eof or d.unconsumed_tail or most <= 0:
+                break
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _runs(text: str, pattern: re.Pattern):
+    """(characters of a run without its line breaks, their places, the run's end)"""
+    for m in pattern.finditer(text):
+        raw, start = m.group().rstrip("="), m.start()
+        at: list[int] | range = range(start, start + len(raw))
+        if breaks := list(BREAK.finditer(raw)):
+            ends = [*(x.start() for x in breaks), len(raw)]
+            at = [start + i for lo, hi in zip([0, *(x.end() for x in breaks)], ends) for i in range(lo, hi)]
+            raw = BREAK.sub("", raw)
+        yield raw, at, m.end()
 
 
 def layers_of(text: str, most: int):
@@ -121,31 +169,35 @@ def layers_of(text: str, most: int):
         yield x
     if "\\" in text and (x := _escapes(text, UNI, _unicode)):
         yield x
-    runs = [(m.start(), m.end(), 3, 4) for m in B64.finditer(text)] + [(m.start(), m.end(), 1, 2) for m in HEXRUN.finditer(text)]
-    for a, b, per, chars in runs:
-        run = text[a:b]
-        try:
-            if per == 1:
-                data = bytes.fromhex(run)
-            else:
-                bare = run.rstrip("=").replace("-", "+").replace("_", "/")
-                if len(bare) % 4 == 1:
-                    continue
-                data = base64.b64decode(bare + "=" * (-len(bare) % 4))
-        except (ValueError, binascii.Error):
-            continue
-        if (new := _inflate(data, most)) is None or (s := _text(new)) is None:
-            continue
-        if new is not data:
-            yield s, (lambda x, y, a=a, b=b: (a, b)), None
-            continue
-        ascii_ = s.isascii()
-
-        def back(x, y, a=a, b=b, s=s, per=per, chars=chars, ascii_=ascii_):
-            i, j = (x, y) if ascii_ else (len(s[:x].encode()), len(s[:y].encode()))
-            return a + i // per * chars, min(b, a + -(-j // per) * chars)
-
-        yield s, back, None
+    for pattern, per, chars in ((B64, 3, 4), (HEXRUN, 1, 2)):
+        for run, at, end in _runs(text, pattern):
+            for phase in range(chars):
+                part = run[phase:]
+                if per == 1:
+                    data = bytes.fromhex(part[: len(part) // 2 * 2])
+                else:
+                    part = part[: len(part) - (len(part) % 4 == 1)].replace("-", "+").replace("_", "/")
+                    data = base64.b64decode(part + "=" * (-len(part) % 4))
+
+                def place(i, j, at=at, end=end, phase=phase, per=per, chars=chars):
+                    last = phase + -(-j // per) * chars
+                    return at[phase + i // per * chars], at[last - 1] + 1 if last <= len(at) else end
+
+                if s := _text(data):
+                    ascii_ = s.isascii()
+                    yield s, (lambda x, y, s=s, ascii_=ascii_, place=place: place(x, y) if ascii_ else place(len(s[:x].encode()), len(s[:y].encode()))), None
+                else:
+                    for m in PLAIN.finditer(data):
+                        yield m.group().decode(), (lambda x, y, o=m.start(), place=place: place(o + x, o + y)), None
+                for head in _heads(data):
+                    if (new := _inflate(data[head:], most)) is None:
+                        continue
+                    back = lambda x, y, o=head, n=len(data), place=place: place(o, n)
+                    if s := _text(new):
+                        yield s, back, None
+                    else:
+                        for m in PLAIN.finditer(new):
+                            yield m.group().decode(), back, None
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
