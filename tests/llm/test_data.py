@@ -95,6 +95,16 @@ def test_warc_round_trip(spark, tmp_path):
         assert [b"".join(v) for v in back.values()] == [p for _, p in recs]
 
 
+def test_warc_keeps_long_records_of_one_id_apart(spark):
+    rows = [(6, "u", "é😀" * 700), (6, "u", "é😀" * 700), (6, "v", "other" * 300), (None, "u", "long" * 400), (None, "w", "long" * 400), (None, "u", "more" * 500), (7, "u", "x" * 900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((i, len(t.encode()), warc.b32(hashlib.sha1(t.encode()).digest()), "response", None) for i, _, t in rows if i) + sorted((0, len(t.encode()), warc.b32(hashlib.sha1(t.encode()).digest()), "response", None) for i, _, t in rows if not i)
+    for chunk in (64, 1 << 20):
+        for parts in (1, 3):
+            got = [(r[0] or 0, *tuple(r)[1:]) for r in warc.archive(df.repartition(parts), chunk=chunk).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_reader_refuses_broken_chunks():
     head = warc.header("response", 1, None, warc.b32(hashlib.sha1(b"abc").digest()), 3)
     (no, last, data, sha), = warc.chunks_of(head, memoryview(b"abc"))

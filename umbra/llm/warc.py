@@ -1,7 +1,7 @@
 """WARC as a chunked record table.
 
-A record's bytes (header block, payload, two line ends) are rows (record_id, chunk_no, last, data, sha1): a payload of
-any size crosses tasks in chunks of bounded size. Each chunk row carries the SHA-1 of the payload up to its end, so that
+A record's bytes (header block, payload, two line ends) are rows (record_id, part, chunk_no, last, data, sha1), where
+`part` is a name of its own for each record written, as ids may be null or repeat: a payload of any size crosses tasks in chunks of bounded size. Each chunk row carries the SHA-1 of the payload up to its end, so that
 a reader checks every chunk as it comes and a writer never holds more than one chunk beside its input. Records of one
 chunk are read where they lie; those of several are brought in order by a sort within partitions.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
@@ -22,8 +23,8 @@ from .common import table
 
 CHUNK = 256 << 10
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-ROWS = "record_id bigint, chunk_no int, last boolean, data binary, sha1 binary"
-OUT = pa.schema([("record_id", pa.int64()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("sha1", pa.binary())])
+ROWS = "record_id bigint, part string, chunk_no int, last boolean, data binary, sha1 binary"
+OUT = pa.schema([("record_id", pa.int64()), ("part", pa.string()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("sha1", pa.binary())])
 
 
 def b32(digest: bytes) -> str:
@@ -55,14 +56,15 @@ def write_records(pages: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held = 0
+        held, n, task = 0, 0, uuid.uuid4().hex
         for b in batches:
             for at in range(b.num_rows):
                 page, url, payload, digest, kind, to = (b.column(n)[at] for n in ("page_id", "url", "payload", "digest", "kind", "refers_to"))
                 raw = memoryview(payload.as_buffer()) if payload.is_valid and len(payload.as_buffer()) else memoryview(b"")
                 head = header(kind.as_py(), page.as_py(), url.as_py(), b32(digest.as_py()), len(raw), to.as_py())
+                n += 1
                 for row in chunks_of(head, raw if kind.as_py() == "response" else memoryview(b""), chunk):
-                    rows.append((page.as_py(), *row))
+                    rows.append((page.as_py(), f"{task}-{n}", *row))
                     held += len(row[2])
                     if held > 4 << 20:
                         yield _batch(rows)
@@ -134,7 +136,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(chunk_rows: DataFrame) -> DataFrame:
     """Chunk rows -> one row a record. Only records of several chunks are shuffled, by record, and sorted."""
     one = chunk_rows.where("last and chunk_no = 0")
-    more = chunk_rows.where("not (last and chunk_no = 0)").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    more = chunk_rows.where("not (last and chunk_no = 0)").repartition("part").sortWithinPartitions("part", "chunk_no")
     return one.mapInArrow(_read, RESULT).union(more.mapInArrow(_read, RESULT))
 
 
@@ -143,8 +145,8 @@ def archive(pages: DataFrame, *, payload: str = "html", key: str = "page_id", ur
 
     Null payloads are empty. Of equal payloads of `least` bytes or more, rows with the largest page_id are responses
     (repeated rows with that id all are) and others revisit it; smaller payloads are all responses. Rows with a null id
-    never are the largest; if no row of a payload has an id, they are responses. Ids should be unique: repeated rows of
-    one id with several chunks are kept apart by a number beside the id.
+    never are the largest; if no row of a payload has an id, they are responses. Repeated rows of one id and rows
+    without one are records of their own (see `part` above).
     """
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("sha", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
