@@ -141,13 +141,35 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert got == [(50, i) for i in range(5)]
 
 
+def test_neighbours_of_mixed_lengths_huge_values_and_repeated_ids(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e200, 0.0]), (3, [1e-300, 0.0]), (50, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (100, [1.0]), (7, [1.0, 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("d", F.lit(1)).withColumn("file", F.lit(1))
+    got = {}
+    for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 12)))
+    half = round(0.5**0.5, 12)
+    assert got == {0: [(1, 1.0), (7, 1.0), (2, half), (3, half)], 50: [(4, 1.0), (5, 0.0)]}
+
+
+def test_neighbours_hot_vector_in_small_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(2000)]
+    want = exact(rows, 50, 5)
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(got[q] == want[q] for q in want if q % 3 == 0)
+    assert sum(len(set(got[q]) & set(v)) for q, v in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_footrule_by_definition():
     rng = np.random.default_rng(2)
     lists = np.stack([rng.permutation(20)[:6] for _ in range(50)])
-    got = neighbours.footrule(lists[0], lists, 20)
-    for other, f in zip(lists, got):
-        at = lambda x, p: list(x).index(p) if p in x else 6
-        assert f == sum(abs(at(lists[0], p) - at(other, p)) for p in range(20))
+    got = neighbours.footrule(lists[:3], lists, 20)
+    for q in range(3):
+        for other, f in zip(lists, got[:, q]):
+            at = lambda x, p: list(x).index(p) if p in x else 6
+            assert f == sum(abs(at(lists[q], p) - at(other, p)) for p in range(20))
 
 
 def test_audio_aligns_shifted_recordings(spark):
