@@ -11,10 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
+import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,13 @@ from .common import map_rows
 
 BLANK = re.compile(r" (?=\S)")
 ODD_BLANK = re.compile(r" (?!\S)")
+#: Parts strings of bytes written as the characters of their numbers: beyond 255, so no token reaches over it.
+BORDER = "\u0100"
+
+
+def as_chars(text: str) -> str:
+    """The UTF-8 bytes of text as the characters of their numbers."""
+    return text if text.isascii() else text.encode().decode("latin-1")
 
 
 class Vocabulary:
@@ -33,8 +40,12 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        # every ending of a token: the token that it is, or -1
-        self.suffixes: dict[bytes, int] = {b[i:]: -1 for b in ranks for i in range(1, len(b))} | ranks
+        self.length = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes, default=-1) + 1)]
+        # gives all tokens that end at each byte in one pass, longest first
+        self.tokens = ahocorasick.Automaton()
+        for b, i in ranks.items():
+            self.tokens.add_word(b.decode("latin-1"), i)
+        self.tokens.make_automaton()
         self.known_apart: dict[int, bool] = {}
         self.known_produced: dict[int, bool] = {}
         self.sides: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
@@ -76,8 +87,8 @@ class Vocabulary:
         """Whether the merges of a's and b's bytes give just a and b.
 
         As merges go by rising rank, the parts that touch at the border climb a's right and b's left side; a and b stay
-        apart unless some touching pair has a merge due before either part joins its own next one. Results are kept;
-        the store starts anew at a bound.
+        apart unless some touching pair has a merge due before either part joins its own next one. a = -1 stands for the
+        start: then whether the merges of b's bytes give b. Results are kept; the store starts anew at a bound.
         """
         k = a << 24 | b
         known = self.known_apart.get(k)
@@ -85,6 +96,9 @@ class Vocabulary:
             return known
         if len(self.known_apart) > 600_000:
             self.known_apart.clear()
+        if a < 0:
+            self.known_apart[k] = self.produced(b)
+            return self.known_apart[k]
         left, right, i, j = self.side(a, True), self.side(b, False), 0, 0
         apart = True
         while True:
@@ -102,91 +116,104 @@ class Vocabulary:
         self.known_apart[k] = apart
         return apart
 
-    def last(self, d: bytes, i: int, before: Callable[[int], int]) -> int:
-        """The last token of d[:i], given the last token of every shorter prefix."""
-        get, ends, n = self.suffixes.get, [], 1
-        while n <= i:
-            t = get(d[i - n : i])
-            if t is None:
-                break
-            if t >= 0:
-                ends.append((n, t))
-            n += 1
-        for n, t in reversed(ends):
-            if self.produced(t) if n == i else self.stay_apart(before(i - n), t):
-                return t
-        raise ValueError(f"no token ends at byte {i}: the vocabulary lacks a single byte")
+    def extend(self, line: str, ends: list[int], start: int = 0) -> None:
+        """Bring `ends` up to `line`: for each place the last token of the prefix that ends there, and -1 for each BORDER.
+
+        line holds strings as as_chars() gives them, a BORDER before each; start: where the first token that matters may
+        begin. Of the tokens that end at a place the one that stays apart from the token before it is the only valid one.
+        """
+        length, known, apart, put, at = self.length, self.known_apart, self.stay_apart, ends.append, len(ends)
+        for end, t in self.tokens.iter(line, start):
+            if end < at:
+                continue
+            while at < end:
+                put(-1)
+                at += 1
+            before = ends[end - length[t]]
+            ok = known.get(before << 24 | t)
+            if ok is None:
+                ok = apart(before, t)
+            if ok:
+                put(t)
+                at += 1
+
+    def walk(self, ends: list[int], at: int) -> list[int]:
+        """The tokens of the string that ends at place `at`, from its last token back."""
+        out = []
+        while (t := ends[at]) >= 0:
+            out.append(t)
+            at -= self.length[t]
+        return out[::-1]
 
 
 class Prefixes:
     """Last tokens of all prefixes of a byte string; append() and edit() keep them exact."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.ends = vocabulary, b"", []
+        self.v, self.line, self.ends = vocabulary, BORDER, [-1]
         self.append(data)
 
+    @property
+    def data(self) -> bytes:
+        return self.line[1:].encode("latin-1")
+
     def append(self, data: bytes) -> None:
-        self.data += data
-        for i in range(len(self.ends) + 1, len(self.data) + 1):
-            self.ends.append(self.v.last(self.data, i, lambda j: self.ends[j - 1]))
+        """Computes the new bytes' prefixes only: a token that ends among them begins at most a token's length before."""
+        self.line += data.decode("latin-1")
+        self.v.extend(self.line, self.ends, max(0, len(self.ends) - self.v.longest))
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace data[start:end]; last tokens are computed anew from there only until they agree with the old ones for
         as many bytes as the longest token has. Returns how many prefixes were computed."""
-        old, tail = self.ends[end:], self.data[end:]
-        self.data, self.ends = self.data[:start], self.ends[:start]
+        old, tail = self.ends[end + 1 :], self.data[end:]
+        self.line, self.ends = self.line[: start + 1], self.ends[: start + 1]
         self.append(new)
-        done = agree = 0
-        for i, t in enumerate(old):
-            self.append(tail[i : i + 1])
-            done += 1
-            agree = agree + 1 if self.ends[-1] == t else 0
-            if agree >= self.v.longest:
-                self.data += tail[i + 1 :]
-                self.ends += old[i + 1 :]
+        done, step = 0, self.v.longest
+        while done < len(old):
+            self.append(tail[done : done + step])
+            done = min(done + step, len(old))
+            if done >= step and self.ends[-step:] == old[done - step : done]:
+                self.line += tail[done:].decode("latin-1")
+                self.ends += old[done:]
                 break
         return len(new) + done
 
     def tokens(self) -> list[int]:
-        out, i = [], len(self.ends)
-        while i:
-            t = self.ends[i - 1]
-            out.append(t)
-            i -= len(self.v.bytes[t])
-        return out[::-1]
+        return self.v.walk(self.ends, len(self.ends) - 1)
 
 
 class Codec:
-    """Encodes texts piece by piece. Pieces share one store of prefixes, so a piece costs its unseen bytes only; the
-    stores of prefixes and of whole pieces start anew at a bound (pieces keep one older generation)."""
+    """Encodes texts word by word. Ids of words of up to `longest` characters are kept: two generations, of which a new one
+    starts at a bound. Longer ones cost memory in proportion to their length, while their text is encoded."""
 
-    def __init__(self, path: str, pattern: str, pieces: int = 200_000, prefixes: int = 700_000):
+    def __init__(self, path: str, pattern: str, words: int = 400_000, longest: int = 40):
         with open(path, "rb") as f:
             self.v = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.old_words: dict[str, tuple[int, ...]] = {}
-        self.ends: dict[bytes, int] = {}
-        self.most, self.most_ends = pieces, prefixes
-
-    def piece(self, d: bytes) -> tuple[int, ...]:
-        ends = self.ends
-        if len(ends) > self.most_ends:
-            ends.clear()
-        i = n = len(d)
-        while i and d[:i] not in ends:
-            i -= 1
-        before = lambda j: ends[d[:j]]
-        for i in range(i + 1, n + 1):
-            ends[d[:i]] = self.v.last(d, i, before)
-        out = []
-        while n:
-            t = ends[d[:n]]
-            out.append(t)
-            n -= len(self.v.bytes[t])
-        return tuple(out[::-1])
+        self.most, self.longest = words, longest
+
+    def pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each piece; a piece that is a token of its own merges needs no other prefix."""
+        out: list = []
+        lines, open_, tokens, produced = [], [], self.v.tokens, self.v.produced
+        for i, line in enumerate(map(as_chars, pieces)):
+            t = tokens.get(line, None)
+            if t is not None and produced(t):
+                out.append((t,))
+            else:
+                out.append(None)
+                lines.append(line)
+                open_.append(i)
+        if lines:
+            ends: list[int] = []
+            self.v.extend(BORDER + BORDER.join(lines), ends)
+            at = -1
+            for i, line in zip(open_, lines):
+                at += len(line) + 1
+                out[i] = tuple(self.v.walk(ends, at))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         """Words are looked up with the blank before them: as the pattern's words take one leading blank and no other
@@ -196,23 +223,35 @@ class Codec:
         words = text.split(" ") if not ODD_BLANK.search(text) else BLANK.split(text)
         if len(self.words) > self.most:
             self.words, self.old_words = {}, self.words
-        known = self.words
-        first = self.pieces(words[0])
-        del words[0]
-        for w in set(words).difference(known):
-            known[w] = self.old_words.get(w) or self.pieces(" " + w)
-        return list(chain(first, chain.from_iterable(map(known.__getitem__, words))))
-
-    def pieces(self, text: str) -> tuple[int, ...]:
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        known, out = self.known, []
-        for p in self.split(text):
-            ids = known.get(p)
+        known, old = self.words, self.old_words
+        new = []
+        for w in set(words[1:]).difference(known):
+            if (ids := old.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        # ASCII letters are one piece by the pattern, whatever blank is before them
+        split = self.split
+        parts = [[" " + w] if w.isascii() and w.isalpha() else split(" " + w) for w in new]
+        parts.append(split(words[0]))
+        of: dict[str, tuple[int, ...]] = {}
+        missing = []
+        for p in set(chain.from_iterable(parts)):
+            ids = known.get(p[1:]) if p[0] == " " else None  # a word is kept without its blank
             if ids is None:
-                ids = known[p] = self.older.get(p) or self.piece(p.encode())
-            out += ids
-        return tuple(out)
+                missing.append(p)
+            else:
+                of[p] = ids
+        of.update(zip(missing, self.pieces(missing)))
+        once: dict[str, tuple[int, ...]] = {}
+        for w, p in zip(new, parts):
+            ids = of[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(of.__getitem__, p)))
+            (known if len(w) <= self.longest else once)[w] = ids
+        for p in missing:
+            if p[0] == " " and 1 < len(p) <= self.longest and not p[1].isspace():
+                known[p[1:]] = of[p]
+        look = known.__getitem__ if not once else lambda w: known[w] if w in known else once[w]
+        return list(chain(chain.from_iterable(map(of.__getitem__, parts[-1])), chain.from_iterable(map(look, islice(words, 1, None)))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.bytes.__getitem__, ids))
