@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import urllib.parse
 
 import numpy as np
@@ -55,6 +56,41 @@ def test_segments_are_the_maximal_ones():
         assert max([s for *_, s in got], default=0) == pytest.approx(max([s for *_, s in best_segments(scores)], default=0))
 
 
+def test_segments_by_each_first_and_last_hit_and_in_linear_time():
+    rng = random.Random(5)
+    for _ in range(300):
+        n, drift = rng.randint(1, 14), -0.5
+        hits = [(i, rng.choice([-2.25, -1.125, 1.75, 3.0625, 0.4375])) for i in sorted(rng.sample(range(n), rng.randint(1, n)))]
+        scores = [drift] * n
+        for i, w in hits:
+            scores[i] = w
+        got = toxicity.segments(n, hits, drift)
+        assert [x[:2] for x in got] == sorted({x[:2] for x in got}) and all(s > 0 for *_, s in got)
+        for (a, b, s), (c, d, t) in itertools.pairwise(got):  # joining two neighbours never gains
+            assert b < c and sum(scores[a : d + 1]) <= max(s, t) + 1e-9
+        for a, b, s in got:
+            assert s == pytest.approx(sum(scores[a : b + 1])) and all(sum(scores[a:k]) > 0 and sum(scores[k : b + 1]) > 0 for k in range(a + 1, b + 1))
+    began = time.time()
+    assert len(toxicity.segments(900_000, [(3 * i, 1.0) for i in range(300_000)], -0.9)) == 300_000  # ever lower totals
+    assert len(toxicity.segments(900_000, [(3 * i, 1.0) for i in range(300_000)], -0.1)) == 1
+    assert time.time() - began < 5
+
+
+def test_gumbel_recovers_rate_and_constant():
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 5000, 20_000)
+    s = np.log(0.02 * n / rng.exponential(size=len(n))) / 0.6
+    lam, k = toxicity._gumbel([(int(a), max(float(b), 0.0)) for a, b in zip(n, s)])
+    assert lam == pytest.approx(0.6, rel=0.05) and k == pytest.approx(0.02, rel=0.25)
+
+
+def test_toxicity_learns_from_repeated_ids_once(spark):
+    rows = [(1, "bad words"), (1, "bad words"), (1, None), (2, "nice words"), (3, None)] + [(4, "x")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit(1)).withColumn("y", F.lit(1)).withColumn("t", F.lit(1))
+    m = toxicity.fit(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 0), (None, 1), (3, None)], "doc_id long, toxic int"))
+    assert np.isfinite([m.lam, m.k, m.slope, m.bias]).all()
+
+
 def test_logistic_settles_where_newton_overshoots():
     x = np.r_[np.zeros(5000), np.full(50, 30.0)]
     y = np.r_[np.zeros(5000), np.ones(50)]

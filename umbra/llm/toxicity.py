@@ -35,9 +35,10 @@ class ToxicityModel:
 def segments(n: int, hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) of n tokens, of which hits have their own score.
 
-    Linear in hits: the tokens between two hits only lower the running total, so a segment starts and ends at hits.
+    The tokens between two hits only lower the running total, so a segment starts and ends at hits. Linear in hits: each
+    segment keeps a link to the nearest one before it with a smaller total before, and those between are never looked at again.
     """
-    found: list[list] = []  # [first, last, total before, total after]
+    found: list[tuple[int, int, float, float, int]] = []  # (first, last, total before, total after, link)
     total, at = 0.0, -1
     for i, w in hits:
         total += drift * (i - at - 1)
@@ -45,17 +46,17 @@ def segments(n: int, hits: list[tuple[int, float]], drift: float) -> list[tuple[
         total += w
         if w <= 0:
             continue
-        new = [i, i, before, total]
+        first, low, j = i, before, len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and found[j][2] >= low:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            new = [found[j][0], i, found[j][2], total]
+            first, low, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
+            j = link
+        found.append((first, i, low, total, j))
+    return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
 def scan(text: str | None, m: ToxicityModel) -> tuple[int, list[tuple[int, int, float]]]:
@@ -79,14 +80,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     """Counts are of documents that hold a token, so that one text's repetitions are no evidence; prior is the pooled
     distribution's weight as a share of all counts. docs: the rows to learn from. sample: most documents of each label, the first by hash of the id.
 
-    Repeated label rows count once (the largest label wins); null labels, ids and texts are left out. Without rows of
+    Repeated label rows count once (the largest label wins); null labels, ids and texts are left out; of
+    repeated rows of an id the least text counts. Without rows of
     both labels the model has no weights and gives 0.
     """
     lab = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     # the ids of learnable documents, then the first by hash for either label: bounded by 2 * sample
     lab = lab.join(docs.select(F.col(key).alias("k")).distinct(), "k", "left_semi")
     ids = lab.where("y = 1").orderBy(F.xxhash64("k"), "k").limit(sample).union(lab.where("y = 0").orderBy(F.xxhash64("k"), "k").limit(sample))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(ids), "k").select("t", F.col("y").cast("int"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(ids), "k")
+    # one text an id, so that repeated rows keep within the bound
+    rows = table(rows.groupBy("k").agg(F.min("t").alias("t"), F.max("y").cast("int").alias("y")).select("t", "y"), "learn")
 
     def start():
         def f(c):
@@ -161,15 +165,22 @@ def _raw(text: str, m: ToxicityModel) -> tuple[int, list[float]]:
 
 
 def _gumbel(clean: list[tuple[int, float]]) -> tuple[float, float]:
-    """Rate and K of the best clean segment's law: P(S >= s) = 1 - exp(-K n exp(-lam s)).
+    """Rate and K of the best clean segment's law: P(S < s) = exp(-K n exp(-lam s)), by maximum likelihood.
 
-    Log-odds scores have rate 1 by construction (Karlin and Altschul); K comes from the clean documents by
-    maximum likelihood given that rate: the sum of K n exp(-S) over documents is their number.
+    Documents without a segment tell only that theirs is below the least score seen. For a rate, K follows in closed form
+    (the documents with a segment, over the sum of n exp(-lam S)); the rate is the best of a fine geometric grid.
     """
-    if not clean:
+    n, s = np.array([x[0] for x in clean], float), np.array([x[1] for x in clean], float)
+    some = s > 0
+    if not some.any():
         return 1.0, 1.0
-    mass = sum(n * np.exp(-s) for n, s in clean)
-    return 1.0, float(max(len(clean) / max(mass, 1e-9), 1e-4))
+    s = np.where(some, s, s[some].min())
+    best = (-np.inf, 1.0, 1.0)
+    for lam in np.geomspace(0.02, 5, 400):
+        k = some.sum() / max(float((n * np.exp(-lam * s)).sum()), 1e-300)
+        fit_ = some.sum() * (np.log(lam) + np.log(k)) - lam * s[some].sum()  # what is left is the same for all rates
+        best = max(best, (float(fit_), float(lam), float(k)))
+    return best[1], max(best[2], 1e-6)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
