@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from umbra.llm import audio, mixing, neighbours, warc
-from umbra.llm.common import components, split_hot
+from umbra.llm.common import components, join_hot, split_hot
 
 
 def test_components_against_force(spark):
     rng = random.Random(1)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)]
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5900)] + [(7000 + i, 6999 - i) for i in range(900)] + [(9500, i) for i in range(8000, 9400)]
     root = {}
 
     def find(x):
@@ -42,6 +42,13 @@ def test_hot_groups_keep_every_pair(spark):
     assert len(met) == 100 * 99 // 2 and max(map(len, by.values())) < 60
 
 
+def test_hot_keys_join_as_others(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id") % 900 + 10).alias("key"), F.col("id").alias("row"))
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low"))
+    got = join_hot(rows, per, "key", "n", 3000).collect()
+    assert sorted(r["row"] for r in got) == list(range(3000)) and all(r["low"] <= r["row"] for r in got)
+
+
 def test_targets_by_repeated_resharing(spark):
     rng = random.Random(8)
     for _ in range(5):
@@ -220,7 +227,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(texts) == len(set(texts)) and {r["text"] for r in a.collect()} >= set(texts) and len(texts) > 0.7 * len(keep)
     c = cp.secrets_out(spark, b, SF).cache()
     before = {r["doc_id"]: r["text"] for r in b.collect()}
-    assert {r["doc_id"]: r["text"] for r in c.collect()} == {d: secrets.redact(t, secrets.scan(t)[1]) for d, t in before.items()}
+    assert {r["doc_id"]: r["text"] for r in c.collect()} == {d: secrets.redact(t, secrets.scan(t).every) for d, t in before.items()}
     d = cp.mixed(spark, c, SF).cache()
     assert 1.2 * F_sum(c) < F_sum(d) < 1.8 * F_sum(c) and d.columns == list(cp.COLUMNS)
     e = cp.encoded(spark, d, SF)

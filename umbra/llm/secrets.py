@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the greedy run from AKIA, 20 characters at least
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNI = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
-UNI_ONE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
+#: An escape that itself was escaped any number of times (%2541, \u005cu0041) is one: nests of any depth take one layer.
+URL_ONE = r"%(?:25)*([0-9A-Fa-f]{2})"
+URL = re.compile(f"(?:{URL_ONE})+")
+URL_BYTES = re.compile(URL_ONE)
+UNI_ONE = re.compile(r"\\(?:u005[cC]|x5[cC]|u\{0{0,4}5[cC]\}|U0000005[cC])*(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+UNI = re.compile(f"(?:{UNI_ONE.pattern})+")
 #: A line break as it is or escaped, with the blanks around it; runs go on over it.
 BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t]*")
 B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:%(b)s[A-Za-z0-9+/_-]{16,})*(?:%(b)s[A-Za-z0-9+/_-]+)?={0,2}" % {"b": BREAK.pattern})
@@ -40,7 +44,7 @@ HEXRUN = re.compile(r"[0-9A-Fa-f]{32,}(?:%(b)s[0-9A-Fa-f]{32,})*(?:%(b)s[0-9A-Fa
 PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 #: A gzip header, or a zlib header but for its check.
 STREAM = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff])")
-#: A decompressed layer may be this many times its document's size plus a mebibyte: the guard against bombs.
+#: A decompressed layer may be this many times its document's size plus a mebibyte: the guard against bombs, which are counted.
 EXPANSION, EXPANSION_FLOOR = 1000, 1 << 20
 
 Span = tuple[int, int, int]  # start, end, kind's number
@@ -52,48 +56,74 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out + [(m.start(), m.end(), 2) for m in HEX.finditer(text)])
 
 
-def _escapes(text: str, pattern: re.Pattern, decode: Callable[[str], str | None]):
-    """The text with all escapes decoded, and the map back; an escape run maps as a whole."""
-    parts, bounds, at, n = [], [], 0, 0  # bounds: (decoded start, source start, is escape)
+class Pieces:
+    """A map from a text's offsets to its source's, in pieces: copied ones keep their offsets, others map as a whole."""
+
+    def __init__(self):
+        self.starts: list[int] = []  # in the text
+        self.pieces: list[tuple[int, int, bool]] = []  # (start in the source, end in the source, whether copied)
+        self.size = 0
+
+    def add(self, size: int, lo: int, hi: int, copied: bool) -> None:
+        if not size:
+            return
+        if self.pieces and copied and self.pieces[-1][2] and self.pieces[-1][1] == lo:
+            self.pieces[-1] = (self.pieces[-1][0], hi, True)
+        else:
+            self.starts.append(self.size)
+            self.pieces.append((lo, hi, copied))
+        self.size += size
+
+    def back(self, a: int, b: int) -> tuple[int, int]:
+        if a >= b or not self.pieces:
+            at = min(bisect.bisect_right(self.starts, a) - 1, len(self.pieces) - 1) if self.pieces else -1
+            lo = self.pieces[at][0] + (a - self.starts[at]) * self.pieces[at][2] if at >= 0 else 0
+            return lo, lo
+        i, j = bisect.bisect_right(self.starts, a) - 1, bisect.bisect_left(self.starts, b) - 1
+        (lo, _, copied), (last, hi, copied_last) = self.pieces[i], self.pieces[j]
+        return lo + (a - self.starts[i]) * copied, last + b - self.starts[j] if copied_last else hi
+
+    def over(self, below: Pieces) -> Pieces:
+        """This map, then `below`, as one: nested escapes of any depth stay one map."""
+        out = Pieces()
+        for at, (lo, hi, copied) in enumerate(self.pieces):
+            size = (self.starts[at + 1] if at + 1 < len(self.starts) else self.size) - self.starts[at]
+            if not copied:
+                out.add(size, *below.back(lo, hi), False)
+                continue
+            i = bisect.bisect_right(below.starts, lo) - 1
+            while lo < hi:
+                end = min(hi, below.starts[i + 1] if i + 1 < len(below.starts) else below.size)
+                out.add(end - lo, *below.back(lo, end), below.pieces[i][2])
+                lo, i = end, i + 1
+        return out
+
+
+def _escapes(text: str, pattern: re.Pattern, decode: Callable[[str], str]):
+    """The text with all escapes decoded, the map back, and the decoded ranges; a run of escapes maps as a whole."""
+    parts, map_, ranges, at = [], Pieces(), [], 0
     for m in pattern.finditer(text):
         new = decode(m.group())
-        if new is None:
-            continue
-        bounds.append((n, at, False))
-        n += m.start() - at
-        bounds.append((n, m.start(), True))
+        map_.add(m.start() - at, at, m.start(), True)
+        ranges.append((map_.size, map_.size + len(new)))
+        map_.add(len(new), m.start(), m.end(), False)
         parts += [text[at : m.start()], new]
-        n += len(new)
         at = m.end()
     if not parts:
         return None
-    bounds.append((n, at, False))
+    map_.add(len(text) - at, at, len(text), True)
     parts.append(text[at:])
-    starts = [b[0] for b in bounds]
-    ends = [b[1] for b in bounds[1:]] + [len(text)]
+    return "".join(parts), map_, ranges
 
-    def back(a: int, b: int) -> tuple[int, int]:
-        i, j = bisect.bisect_right(starts, a) - 1, bisect.bisect_left(starts, b) - 1
-        lo = bounds[i][1] if bounds[i][2] else bounds[i][1] + a - bounds[i][0]
-        hi = ends[j] if bounds[j][2] else bounds[j][1] + b - bounds[j][0]
-        return lo, hi
 
-    return "".join(parts), back, [(starts[i], starts[i + 1]) for i in range(len(bounds) - 1) if bounds[i][2]]
+def _url(s: str) -> str:
+    """Bytes that are no UTF-8 become marks; secrets are ASCII."""
+    return bytes.fromhex("".join(URL_BYTES.findall(s))).decode(errors="replace")
 
 
-def _url(s: str) -> str | None:
-    try:
-        return bytes.fromhex(s.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
-
-
-def _unicode(s: str) -> str | None:
-    try:
-        units = [int(next(filter(None, m.groups())), 16) for m in UNI_ONE.finditer(s)]
-        return b"".join(u.to_bytes(2, "big") if u < 0x10000 else chr(u).encode("utf-16-be") for u in units).decode("utf-16-be")
-    except (ValueError, OverflowError):
-        return None
+def _unicode(s: str) -> str:
+    units = [int(next(filter(None, m.groups())), 16) for m in UNI_ONE.finditer(s)]
+    return b"".join(u.to_bytes(2, "big") if u < 0x10000 else chr(u).encode("utf-16-be") if u < 0x110000 else b"\xff\xfd" for u in units).decode("utf-16-be", "replace")
 
 
 def _text(data: bytes) -> str | None:
@@ -110,10 +140,14 @@ def _heads(data: bytes) -> list[int]:
     return [i for m in STREAM.finditer(data) if data[i := m.start()] == 0x1F or ((data[i] << 8) + data[i + 1]) % 31 == 0 and not data[i + 1] & 0x20]
 
 
+class TooLarge(Exception):
+    """A layer beyond the guard against decompression bombs."""
+
+
 def _inflate(data: bytes, most: int) -> bytes | None:
     """All streams one after the other at the start of data, unwrapped until the bytes are none; None if broken from the
-    start, or larger than most. Of a stream that breaks off, what came before."""
-    seen = False
+    start. Of a stream that breaks off, what came before."""
+    seen, been = False, set()
     while 0 in _heads(data[:3]):
         rest, parts, n = data, [], 0
         while 0 in _heads(rest[:3]):
@@ -125,14 +159,16 @@ def _inflate(data: bytes, most: int) -> bytes | None:
                 d = None
             n += len(new)
             if n > most:
-                return None
+                raise TooLarge
             parts.append(new)
             if d is None or not d.eof:
                 break
             rest = d.unused_data.lstrip(b"\0")
         new = b"".join(parts)
-        if not new or new == data:
+        mark = hashlib.blake2b(new, digest_size=16).digest()
+        if not new or mark in been:  # a stream may hold itself
             break
+        been.add(mark)
         data, seen = new, True
     return data if seen else None
 
@@ -163,8 +199,8 @@ def _runs(text: str, pattern: re.Pattern):
         yield raw, at, m.end()
 
 
-def layers_of(text: str, most: int):
-    """(decoded text, map back, decoded ranges or None for all) for each way the text unwraps."""
+def layers_of(text: str, most: int, too_large: Callable[[], None]):
+    """(decoded text, map back: Pieces or a function, decoded ranges or None for all) for each way the text unwraps."""
     if "%" in text and (x := _escapes(text, URL, _url)):
         yield x
     if "\\" in text and (x := _escapes(text, UNI, _unicode)):
@@ -190,7 +226,12 @@ def layers_of(text: str, most: int):
                     for m in PLAIN.finditer(data):
                         yield m.group().decode(), (lambda x, y, o=m.start(), place=place: place(o + x, o + y)), None
                 for head in _heads(data):
-                    if (new := _inflate(data[head:], most)) is None:
+                    try:
+                        new = _inflate(data[head:], most)
+                    except TooLarge:
+                        too_large()
+                        continue
+                    if new is None:
                         continue
                     back = lambda x, y, o=head, n=len(data), place=place: place(o, n)
                     if s := _text(new):
@@ -200,28 +241,47 @@ def layers_of(text: str, most: int):
                             yield m.group().decode(), back, None
 
 
-def scan(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans (base ones too, each span once) sorted by start, end and kind."""
+@dataclass
+class Found:
+    base: list[Span]
+    every: list[Span]  # base ones too, each span once, by start, end and kind
+    left_out: int  # decompressed layers beyond the guard against bombs
+
+
+def scan(text: str | None) -> Found:
+    """The spans of all layers. A layer's map is a list of maps down to the document, neighbouring maps of pieces made one."""
     text = text or ""
     base = base_spans(text)
-    found = set(base)
+    found, left_out = set(base), 0
     most = EXPANSION * len(text) + EXPANSION_FLOOR
-    work = deque([(text, None)])
-    seen = {(0, len(text), hashlib.blake2b(text.encode(), digest_size=16).digest())}
+
+    def too_large():
+        nonlocal left_out
+        left_out += 1
+
+    work = deque([(text, ())])
+    seen = {(0, len(text), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())}
     while work:
-        layer, to_doc = work.popleft()
-        for new, back, ranges in layers_of(layer, most):
-            here = (lambda a, b, back=back, up=to_doc: back(a, b) if up is None else up(*back(a, b)))
-            place = here(0, len(new)) if new else (0, 0)
-            mark = (*place, hashlib.blake2b(new.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        layer, below = work.popleft()
+        for new, back, ranges in layers_of(layer, most, too_large):
+            if not new:
+                continue
+            maps = (back.over(below[0]), *below[1:]) if isinstance(back, Pieces) and below and isinstance(below[0], Pieces) else (back, *below)
+
+            def here(a, b, maps=maps):
+                for m in maps:
+                    a, b = m.back(a, b) if isinstance(m, Pieces) else m(a, b)
+                return a, b
+
+            mark = (*here(0, len(new)), hashlib.blake2b(new.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             if mark in seen:
                 continue
             seen.add(mark)
             for a, b, kind in base_spans(new):
                 if ranges is None or any(x < b and a < y for x, y in ranges):  # text that was plain before is no news
                     found.add((*here(a, b), kind))
-            work.append((new, here))
-    return base, sorted(found)
+            work.append((new, maps))
+    return Found(base, sorted(found), left_out)
 
 
 def joined(spans: list[Span]) -> str:
@@ -243,24 +303,25 @@ def find_secrets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     """doc_id, base and all: arrays of (start, end, kind), offsets in code points, end exclusive; redacted: the text.
 
     One row per input row; null text is as empty and has no span. Overlapping and repeated spans of different kinds
-    all stay; the same span of the same kind stays once.
+    all stay; the same span of the same kind stays once. n_left_out: decompressed layers that were not scanned, being over 1000
+    times the text and a mebibyte (streams within streams only: one deflate stream can't reach that).
     """
 
     def start():
         def f(c):
-            both = [scan(t) for t in c["t"]]
+            both = [(x.base, x.every, x.left_out) for x in map(scan, c["t"])]
             as_rows = lambda v: [{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in v]
-            return {"doc_id": c["k"], "base": [as_rows(x) for x, _ in both], "all": [as_rows(x) for _, x in both], "base_text": [joined(x) for x, _ in both], "all_text": [joined(x) for _, x in both], "redacted": [t if t is None or not x else redact(t, x) for t, (_, x) in zip(c["t"], both)]}
+            return {"doc_id": c["k"], "base": [as_rows(x) for x, *_ in both], "all": [as_rows(x) for _, x, _ in both], "base_text": [joined(x) for x, *_ in both], "all_text": [joined(x) for _, x, _ in both], "n_left_out": [n for *_, n in both], "redacted": [t if t is None or not x else redact(t, x) for t, (_, x, _) in zip(c["t"], both)]}
 
         return f
 
     kind, s = docs.schema[key].dataType.simpleString(), "array<struct<start:int,end:int,kind:string>>"
-    return map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), f"doc_id {kind}, base {s}, all {s}, base_text string, all_text string, redacted string", start)
+    return map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), f"doc_id {kind}, base {s}, all {s}, base_text string, all_text string, n_left_out int, redacted string", start)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *map(n, KINDS), F.sha2("base_text", 256).alias("base_sha256"), F.col("all_text").alias("spans"))
+    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *map(n, KINDS), F.sha2("base_text", 256).alias("base_sha256"), F.col("all_text").alias("spans"), "n_left_out")
 
 
 def redacted(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -272,7 +333,7 @@ def redacted(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") ->
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 i = part.schema.get_field_index(text)
-                new = [t if t is None else redact(t, scan(t)[1], mark) for t in part.column(i).to_pylist()]
+                new = [t if t is None else redact(t, scan(t).every, mark) for t in part.column(i).to_pylist()]
                 yield part.set_column(i, part.schema.field(i), pa.array(new, part.schema.field(i).type))
 
     return docs.mapInArrow(run, docs.schema)
