@@ -112,6 +112,31 @@ def test_warc_keeps_long_records_of_one_id_apart(spark):
             assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def warc_by_force(rows, least):
+    top = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        if i is not None and len(raw) >= least:
+            top[raw] = max(top.get(raw, i), i)
+    out = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        to = top.get(raw)
+        revisit = to is not None and i != to and len(raw) >= least
+        out.append((i, len(raw), warc.b32(hashlib.sha1(raw).digest()), "revisit" if revisit else "response", to if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_warc_against_force_with_repeated_and_null_ids(spark):
+    rng = random.Random(2)
+    rows = [(6, "A"), (6, "B"), (8, "A"), (9, "B"), (None, "once"), (None, "x" * 500), (7, "x" * 500), (None, "q"), (None, "q")]
+    rows += [(rng.choice([None, *range(20)]), rng.choice([None, "", "A", "é😀" * 90, "long" * 200, "B" * 64])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit(None).cast("string")).withColumn("top", F.lit(1))
+    for chunk, least, parts in ((64, 0, 3), (64, 100, 1), (1 << 20, 0, 5)):
+        got = sorted(map(tuple, warc.archive(df.repartition(parts), chunk=chunk, least=least).collect()), key=str)
+        assert got == warc_by_force(rows, least)
+
+
 def test_warc_reader_refuses_broken_chunks():
     head = warc.header("response", 1, None, warc.b32(hashlib.sha1(b"abc").digest()), 3)
     (no, last, data, sha), = warc.chunks_of(head, memoryview(b"abc"))

@@ -152,8 +152,8 @@ def archive(pages: DataFrame, *, payload: str = "html", key: str = "page_id", ur
     p = p.withColumn("sha", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     # the largest id of each payload: combined before the shuffle, so a hot payload is one row a task; digests only
     top = p.where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ids = p.select("page_id", "sha", "bytes").join(top, ["sha", "bytes"]).where("page_id < top or (page_id is null and top is not null)").select("page_id", "top").distinct()
-    flagged = p.join(ids.withColumnRenamed("page_id", "_id"), F.col("page_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    ids = p.select("page_id", "sha", "bytes").join(top, ["sha", "bytes"]).where("page_id < top or (page_id is null and top is not null)").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("bytes").alias("_bytes"), "top").distinct()
+    flagged = p.join(ids, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")) & (F.col("bytes") == F.col("_bytes")), "left")
     flagged = flagged.select("page_id", "url", "payload", F.unhex("sha").alias("digest"), F.when(F.col("top").isNull(), "response").otherwise("revisit").alias("kind"), F.col("top").alias("refers_to"))
     return read_records(table(write_records(flagged, chunk=chunk), "warc"))
 
