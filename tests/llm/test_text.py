@@ -363,5 +363,9 @@ def test_language_held_out_and_edges(spark, edge, empty):
     got = [(r["doc_id"], r["lang_pred"]) for r in language.identify(edge, m).collect()]
     assert [x for _, x in got] == ["und", "und", "und", "b", "b", "b", "b", "und"]
     assert language.identify(empty, m).count() == 0
+    numbers = spark.createDataFrame([(i, t) for i, t in enumerate(("½", "² 3", "Ⅷ", "٣", "_", "x²", "一", "é"))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language.identify(numbers, m).orderBy("doc_id").collect()] == ["und"] * 5 + ["b"] * 3
+    same = spark.createDataFrame([(1, "guten tag", "de")] * 2000 + [(2, "good day", "en")], "doc_id long, text string, lang string").withColumn("h", F.lit(1))
+    assert language.fit(same, sample=3).names == ["de", "en"]
     none = language.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in language.identify(edge, none).collect()} == {"und"}

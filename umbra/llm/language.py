@@ -9,15 +9,18 @@ the held-back rows that stay are right as often as asked.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc, map_rows
+from .common import crc, map_rows, table
 
-NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Numbers that are word characters to `re` but neither decimal digits nor letters, as fractions and Roman numerals.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_LETTER = re.compile(rf"[\W\d_{re.escape(NUMBERS)}]+")
 BUCKETS = 1 << 14
 
 
@@ -50,26 +53,27 @@ def subwords(text: str | None) -> np.ndarray | None:
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 500, width: int = 16, epochs: int = 12, rate: float = 4.0, precision: float = 0.95) -> LanguageModel:
-    """docs: the rows to learn from. sample: most documents of each language, the first by hash of the id; the
-    number of languages is that of the distinct values. Null languages and texts without letters are left out."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("y"), F.col(text).alias("t"), F.col(key).alias("k"))
-    names = sorted(r[0] for r in rows.select("y").distinct().collect())
-    ids = None
-    for name in names:  # the first by hash, a top-k each: no window over a whole language
-        part = rows.where(F.col("y") == name).select("k").orderBy(F.xxhash64("k"), "k").limit(sample)
-        ids = part if ids is None else ids.union(part)
+    """docs: the rows to learn from. sample: most documents of each language, the first by hash of id and text (repeated rows
+    once); the number of languages is that of the distinct values. Null languages and texts without letters are left out."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("y"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t", F.lit(3)))
+    # the first of each language: every task keeps `sample` of its own before they meet
+    order = Window.partitionBy("y").orderBy(F.xxhash64("h"), "h")
+    ids = rows.groupBy("y", "h").agg(F.lit(1)).select("y", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("y", "h")
+    ids = table(ids, "learn")
+    names = sorted(r[0] for r in ids.select("y").distinct().collect())
 
     def start():
         def f(c):
             made = [subwords(t) for t in c["t"]]
             at = [None if v is None else np.flatnonzero(v).astype(np.int32) for v in made]
-            return {"y": c["y"], "i": [None if x is None else x.tobytes() for x in at], "w": [None if x is None else v[x].astype(np.float32).tobytes() for v, x in zip(made, at)]}
+            return {"y": c["y"], "h": c["h"], "i": [None if x is None else x.tobytes() for x in at], "w": [None if x is None else v[x].astype(np.float32).tobytes() for v, x in zip(made, at)]}
 
         return f
 
     picked: list[tuple[int, np.ndarray, np.ndarray]] = []
     if names:  # languages times sample rows at most, as sparse counts
-        for r in map_rows(rows.join(F.broadcast(ids.distinct()), "k").select("y", "t"), "y string, i binary, w binary", start).collect():
+        seen = map_rows(rows.join(F.broadcast(ids), ["y", "h"]).select("y", "h", "t"), "y string, h bigint, i binary, w binary", start)
+        for r in seen.groupBy("y", "h").agg(F.first(F.struct("i", "w")).alias("x")).select("y", "x.*").collect():
             if r["i"] is not None:
                 picked.append((names.index(r["y"]), np.frombuffer(r["i"], np.int32), np.frombuffer(r["w"], np.float32).astype(np.float64)))
         picked.sort(key=lambda p: (p[0], len(p[1]), p[2].tobytes()))  # the same order on every run
