@@ -77,6 +77,22 @@ def test_mixing_takes_near_targets_and_handles_edges(spark):
     a, b = (sorted(map(str, mixing.mix(df).collect())) for _ in range(2))
     assert a == b and len(a) == 5
     assert mixing.mix(df.where("false")).count() == 0
+    # rows without an id, equal ones among them, come near their targets too
+    null = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b c").otherwise(F.concat(F.lit("x y "), F.col("id"))).alias("text"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("id") / 2 % 3).cast("int") + 1).alias("source"))
+    got = mixing.mix(null).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("t"), F.first("target").alias("g")).collect()
+    assert sum(r["n"] for r in got) == 6000 and all(abs(r["t"] - r["g"]) < 0.05 * r["g"] for r in got)
+
+
+def test_mixing_sql_on_equal_and_null_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, "a b", "s")] * 40 + [(1, "c d e", None)] * 3 + [(i, "w " * (i % 7), f"s{i % 3}") for i in range(60)] + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents = df.toPandas().astype({"doc_id": "Int64"})
+    want = duckdb.sql(mixing.OP7_SQL).fetchall()
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in mixing.op7(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(documents) == len(rows)
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -15,6 +15,8 @@ from .common import WORD_JAVA, table
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Offsets tried for the hash seed of each source; the one whose mix comes nearest to its target is used.
 OFFSETS = 64
+#: Equal rows over this part of all rows draw in turn; see spread.
+EQUAL, GOLDEN = 4096, 0.6180339887498949
 #: Sources up to this number are broadcast (a row of a few dozen bytes each); more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -23,9 +25,26 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_JAVA)), F.lit(0)).cast("long")
 
 
-def draw(key: Column) -> Column:
-    """Uniform in [0, 1) from the id: 52 bits of MD5, the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / 4503599627370496.0
+def draw(key: Column, text: Column) -> Column:
+    """Uniform in [0, 1) from id and text: 52 bits of MD5, the same in any SQL engine."""
+    seed = F.concat(F.lit("mix:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(seed), 1, 13), 16, 10).cast("double") / 4503599627370496.0
+
+
+def spread(sized: DataFrame) -> DataFrame:
+    """Equal rows that are over 1 / EQUAL of all (EQUAL groups at most, so they are broadcast) draw one after the other in steps of the
+    golden ratio instead of all alike. As they are equal they are counted and written anew, in parts of bounded size."""
+    columns = sized.columns
+    marked = sized.withColumn("_eq", F.xxhash64(*columns))
+    many = marked.groupBy("_eq").agg(F.count(F.lit(1)).alias("_c")).where((F.col("_c") > 1) & (F.col("_c") * EQUAL > sized.count())).select("_eq")
+    many = table(many, "equal")
+    if not many.limit(1).count():
+        return sized
+    each = marked.join(F.broadcast(many), "_eq").groupBy(*columns).agg(F.count(F.lit(1)).alias("_c"))
+    parts = each.withColumn("_p", F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") - 1) / 10_000)))).repartition("_p", "u")
+    rows = parts.withColumn("_j", F.explode(F.sequence(F.col("_p") * 10_000, F.least(F.col("_c"), (F.col("_p") + 1) * 10_000) - 1)))
+    rows = rows.withColumn("u", (F.col("u") + F.col("_j") * GOLDEN) % 1.0).select(*columns)
+    return table(marked.join(F.broadcast(many), "_eq", "left_anti").select(*columns).unionByName(rows), "spread")
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -47,10 +66,11 @@ def targets(totals: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: one row per input row; taken words are copies * size.
 
-    Null texts have size 0 and null sources are a source of their own, last in order. The draw depends on the id only,
-    so repeated rows get the same copies and reruns agree. A source without words has target 0 and rate 0.
+    Null texts have size 0 and null sources are a source of their own, last in order. The draw depends on id and text,
+    so reruns agree; a few equal rows get the same copies, many (see spread) the share of them that the fraction asks. A source without words has target 0 and rate 0.
     """
-    sized = table(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), *keep).withColumn("u", draw(F.col("doc_id"))), "sizes")
+    sized = table(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), F.col(text).alias("_t"), *keep).withColumn("u", draw(F.col("doc_id"), F.col("_t"))).drop("_t"), "sizes")
+    sized = spread(sized)
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("total")))
     goal = table(goal.withColumn("rate", F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0)), "targets")
     few = goal.count() <= BROADCAST_SOURCES
@@ -77,10 +97,12 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB.
 OP7_SQL = r"""
-WITH sized AS (
+WITH sized0 AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+         CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u0,
+         count(*) OVER () AS every, count(*) OVER (PARTITION BY doc_id, text, source) AS equal, row_number() OVER (PARTITION BY doc_id, text, source) - 1 AS nth
   FROM documents),
+sized AS (SELECT *, CASE WHEN equal > 1 AND equal * 4096 > every THEN (u0 + nth * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE ELSE u0 END AS u FROM sized0),
 totals AS (SELECT source, sum(size)::BIGINT AS total FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM totals),
 levels AS (
