@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,11 +17,11 @@ WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (local tests) a temporary folder is set."""
+    """The folder that spark.checkpoint.dir names; only where it is unset and the master is local (one machine) a temporary folder is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     where = tempfile.mkdtemp(prefix="umbra-")
     spark.conf.set("spark.checkpoint.dir", where)
@@ -94,22 +95,39 @@ def split_hot(keyed: DataFrame, key: str, member: str, most: int) -> DataFrame:
     return j.withColumn("tile", F.explode(F.when(F.col("_t").isNull(), F.array(F.lit(-1))).otherwise(pairs))).drop("_t")
 
 
-def components(edges: DataFrame, label: str = "cc", rounds: int = 40) -> DataFrame:
+#: Keys with over this share of the rows are hot; there are 1 / HOT of them at most, which bounds their broadcast.
+HOT = 1 / 512
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with per_key (a row a key, `count`: its rows among the `total` rows) without a task for a hot key's rows.
+
+    Keys of over HOT * total rows, 1 / HOT at most, are broadcast, so their rows stay where they are; others are shuffled.
+    """
+    hot = F.col(count) > HOT * total
+    few, rest = per_key.where(hot).drop(count), per_key.where(~hot).drop(count)
+    near = rows.join(F.broadcast(few), key)
+    return near.unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
+def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """edges (a, b) of long ids -> (node, root): root is the smallest node reachable. Only nodes with an edge appear.
 
-    Alternating large-star and small-star steps; each step's edges are a table in the shared folder. No row goes
-    to the driver except one count a round. Raises if `rounds` don't suffice.
+    Alternating large-star and small-star steps; each step's edges are a table in the shared folder, and hubs are no task's own (join_hot).
+    No row goes to the driver except counts. Rounds go on until the edges are stars: each joins at least one more node to its
+    root, and long paths halve.
     """
     now = table(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), label)
-    for _ in range(rounds):
+    while True:
+        n = now.count()
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("v <> u").distinct()
+        low = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("c")).select("x", F.least("x", "m").alias("m"), "c")
+        large = table(join_hot(both.where("y > x"), low, "x", "c", n).select(F.col("y").alias("v"), F.col("m").alias("u")).distinct(), label)
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("c"))
+        joined = join_hot(large, least, "v", "c", n)
+        small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("v <> u").distinct()
         new = table(small, label)
         # a star forest: no root has a root, and every node has one
         if not new.join(new.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count() and new.groupBy("v").count().where("count > 1").limit(1).count() == 0:
             return new.select(F.col("v").alias("node"), F.col("u").alias("root")).union(new.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
         now = new
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
