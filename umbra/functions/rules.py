@@ -37,7 +37,7 @@ class Rule:
 # ---- fixed values: patterns, scores and keywords that results depend on -------------------------------------------------
 BUILT_IN = (
     Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.95, needs="@"),
-    Rule("PHONE", r"(?<!\d)(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}(?!\d)", 0.85, needs=r"\p{Nd}{3}.\p{Nd}{4}"),
+    Rule("PHONE", r"(?<!\d)(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}(?!\d)", 0.85, needs=r"\p{Nd}{3}[\s\S]\p{Nd}{4}"),
     Rule("SSN", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", 0.95, "ssn_area", needs=r"-\p{Nd}{2}-"),
     Rule("SSN", r"(?<!\d)\d{9}(?!\d)", 0.35, "ssn_area", needs=r"\p{Nd}{9}"),
     Rule("CREDIT_CARD", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", 0.97, "luhn", needs=r"\p{Nd}(?:[ -]?\p{Nd}){12}"),
