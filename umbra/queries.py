@@ -159,8 +159,8 @@ def roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guarded(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts that hold a lookalike of the first token: whether the token avoided it and the text came back."""
-    t = texts(spark, sf).where("doc_id % 13 = 0").withColumn("text", F.concat("text", F.lit(" <EMAIL_1>")))
+    """All texts, with a lookalike of the first token: whether the token avoided it and the text came back."""
+    t = texts(spark, sf).withColumn("text", F.concat("text", F.lit(" <EMAIL_1>")))
     m = msk.mask(t, "text", EMAIL_ONLY)
     return m.select("doc_id", F.size("mapping").alias("n"), (~F.exists("mapping", lambda e: e["token"] == "<EMAIL_1>")).alias("avoided"), (msk.unmask(F.col("masked_text"), F.col("mapping")) == F.col("text")).alias("restored"))
 
@@ -274,7 +274,7 @@ SQL = {f"q{NAMES.index(n) + 1:02d}_{n}_spans": f'WITH {TEXTS}, {rule_ctes(n)} SE
     "q32_mask_tail": _email_masked("reverse(list_reduce(list_transform(string_split(reverse(value), ''), lambda c: c), lambda a, c: a || CASE WHEN regexp_matches(c, '[\\p{L}\\p{N}]') AND length(regexp_replace(a, '[^\\p{L}\\p{N}]', '', 'g')) >= 4 THEN 'X' ELSE c END, ''))"),
     "q33_hash": _email_masked(f"sha256({_pad[0]} || unhex(sha256({_pad[1]} || encode(value))))"),
     "q36_unmask_roundtrip": f"WITH {TEXTS} SELECT doc_id, text || ' <EMAIL_1> 😀' AS text FROM texts",
-    "q37_reserved_guard": f"WITH texts AS (SELECT doc_id, {_DUCK} || ' <EMAIL_1>' AS text FROM documents WHERE doc_id % 13 = 0), {rule_ctes('email')} SELECT doc_id, CAST(count(DISTINCT value) AS INTEGER) AS n, true AS avoided, true AS restored FROM f_email GROUP BY doc_id",
+    "q37_reserved_guard": f"WITH texts AS (SELECT doc_id, {_DUCK} || ' <EMAIL_1>' AS text FROM documents), {rule_ctes('email')} SELECT doc_id, CAST(count(DISTINCT value) AS INTEGER) AS n, true AS avoided, true AS restored FROM texts LEFT JOIN f_email USING (doc_id) GROUP BY doc_id",
     "q40_session_tokens": SESSION_SQL,
     "q42_session_unmask": f"SELECT {_CONV.format(S='VARCHAR')} FROM conversations",
     "q50_json_mask": "SELECT event_id, '<EMAIL_1>' AS mail, 16 AS card_digits, false AS card_kept, event_type AS kind, user_id FROM events",
