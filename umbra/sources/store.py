@@ -101,7 +101,7 @@ class TableStore:
         rows = self.spark.read.parquet(self.path)
         if ttl_seconds is not None:
             rows = rows.where(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("saved") < ttl_seconds)
-        return rows.groupBy("session_id").agg(F.max_by("blob", "saved").alias("blob")).select("session_id", decrypt(F.col("blob"), self.key).alias("mapping"))
+        return rows.groupBy("session_id").agg(F.max_by("blob", "saved").alias("blob")).where("blob is not null").select("session_id", decrypt(F.col("blob"), self.key).alias("mapping"))
 
     def save(self, session_id: str, mapping: list[Entry]) -> None:
         rows = [(checked(session_id), [(e.token, e.entity_type, e.strategy, e.reversible, e.original) for e in mapping])]
@@ -112,4 +112,12 @@ class TableStore:
         return None if got is None else [Entry(**x.asDict()) for x in got["mapping"]]
 
     def delete(self, session_id: str) -> None:
-        raise NotImplementedError("rewrite the table without the session: rows of a Parquet table are not deleted in place")
+        """A row without a mapping hides the earlier ones at once; compact() removes them from the files."""
+        gone = self.spark.createDataFrame([(checked(session_id),)], "session_id string").withColumn("mapping", F.lit(None).cast(f"array<{ENTRY}>"))
+        self.write(gone)
+
+    def compact(self, path: str) -> TableStore:
+        """A new table at `path` that holds the latest mapping of each session and nothing of deleted ones."""
+        rows = self.spark.read.parquet(self.path).groupBy("session_id", "bucket").agg(F.max_by(F.struct("blob", "saved"), "saved").alias("x"))
+        rows.where("x.blob is not null").select("session_id", "x.blob", "x.saved", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return TableStore(self.spark, path, self.key, self.buckets)
