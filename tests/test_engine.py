@@ -1,6 +1,7 @@
 """The column path against the Python model, strategies, sessions, JSON, stores, streams and the leak gate."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -189,6 +190,16 @@ def test_stores(spark, tmp_path):
         store.TableStore(spark, "x", b"short")
     with pytest.raises(NotImplementedError):
         store.RedisStore().load("x")
+    kept = store.TableStore(spark, f"{tmp_path}/kept", bytes(range(16)))
+    entry = model.Entry("<EMAIL_1>", "EMAIL", "replace", True, "a@b.org")
+    for sid in ("one", "two"):
+        kept.save(sid, [entry])
+    kept.delete("one")
+    assert kept.load("one") is None and kept.load("two") == [entry]
+    small = kept.compact(f"{tmp_path}/small")
+    assert small.load("one") is None and small.load("two") == [entry] and spark.read.parquet(small.path).count() == 1
+    kept.save("one", [entry])
+    assert kept.load("one") == [entry]
 
 
 def test_ner_hook_sees_blanked_text(spark):
@@ -238,3 +249,62 @@ def test_adversarial_text_is_fast(spark):
     t = time.time()
     assert det.detect(df).collect()[0]["spans"] == []
     assert time.time() - t < 20
+
+
+SEPARATORS = (" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2028", "\u2029", "\u3000", "-", ".", "")
+
+
+def test_every_separator_passes_the_cheap_patterns(spark):
+    """Texts with each white space, in all rules at once: the columns find what the Python model finds."""
+    texts = []
+    for a in SEPARATORS:
+        texts += [f"call 415{a}555{a}0132 now", f"call +1{a}(415){a}555{a}0132", f"tel 415-555{a}0132", f"card 4111{a}1111{a}1111{a}1111", f"ssn 123{a}45{a}6789", f"api_key{a}={a}abcdefghij0123456789", f"lives at 12{a}Maple{a}Street", f"at 12{a}Old Maple{a}Road,{a}Apt{a}#4"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in det.detect(df).collect():
+        want = [(s.start, s.end, s.entity_type, s.score) for s in model.detect(r["text"])]
+        assert [(x["start"], x["end"], x["entity_type"], x["score"]) for x in r["spans"]] == want, repr(r["text"])
+    assert any(model.detect("call 415-555\n0132"))
+
+
+def test_dot_follows_the_flags():
+    assert regex.to_java("as.d") == r"as[^\n]d" and regex.to_java("(?s)as.d") == "(?s)as.d" and regex.to_java("(?i)s.") == r"(?iu)s[^\n]"
+
+
+def test_registered_generators_in_both_paths(spark):
+    text = "key eyJabc.def.ghi and a@b.org and eyJabc.def.ghi"
+    surrogates.register("JWT", lambda value, h: "FAKEJWT" + h[:6])
+    surrogates.register("EMAIL", lambda value, h: h[:8] + "@own.example")
+    try:
+        p = Policy("surrogate")
+        want, entries = model.mask(text, policy=p)
+        got = mask.mask(spark.createDataFrame([(1, text), (2, None), (3, "none")], "i int, text string"), p=p).orderBy("i").collect()
+        assert got[0]["masked_text"] == want and "FAKEJWT" in want and "@own.example" in want
+        assert [e["token"] for e in got[0]["mapping"]] == [e.token for e in entries]
+        assert got[1]["masked_text"] is None and got[2]["masked_text"] == "none" and got[2]["mapping"] == []
+    finally:
+        surrogates.EXTRA.clear()
+
+
+def test_thousands_of_findings_in_one_text(spark):
+    text = " ".join(f"user{i % 6000}@mail{i % 7}.example.org" for i in range(8000)) + " <EMAIL_3> end"
+    began = time.time()
+    got = mask.mask(spark.createDataFrame([(text,)], "text string"), d=Detection(rules=BUILT_IN[:1], keywords={}, threshold=0.0)).collect()[0]
+    want, entries = model.mask(text, Detection(rules=BUILT_IN[:1], keywords={}, threshold=0.0))
+    assert got["masked_text"] == want and len(got["mapping"]) == len(entries)
+    assert time.time() - began < 60
+
+
+def test_unmask_sessions_does_not_depend_on_partitions(spark):
+    rows = [(f"s{i % 5}", i, f"mail u{i % 9}@x.example.org or u{i % 4}@x.example.org") for i in range(60)]
+    df = spark.createDataFrame(rows, "session string, turn int, body string").withColumn("text", F.lit("other"))
+    m, table = session.mask_sessions(df, "session", "turn", "body")
+    assert m.where("text = 'other'").count() == 60
+    back = session.unmask_sessions(m.select("session", "turn", "masked_text").repartition(7), table, "session").collect()
+    assert {(r["session"], r["turn"], r["text"]) for r in back} == set(rows)
+
+
+def test_probe_and_safe_match():
+    regex.probe(r"\bEMP-\d{6}\b")
+    with pytest.raises(regex.UnsafePattern):
+        regex.probe("(a+)+$", 0.3)
+    assert regex.safe_match("b+", "abbc") and not regex.safe_match("b", "b" * 10_001)

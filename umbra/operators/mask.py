@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import surrogates
+from ..functions import model, surrogates
 from ..functions.model import Policy
 from ..functions.rules import Detection
 from .detect import detect, let
@@ -95,57 +95,86 @@ def _first_free(entity: str, value: Column, text: Column, taken: Column, secret:
 def surrogate(entity: Column, value: Column, text: Column, taken: Column, p: Policy) -> Column:
     """The first free fake value of TRIES, or null (no generator, or all taken): then REPLACE's token is used."""
     out = F.lit(None).cast("string")
-    for t in (*surrogates.HAS, *surrogates.EXTRA):
-        if t in surrogates.EXTRA or p.of(t) != "surrogate":
+    for t in surrogates.HAS:
+        if p.of(t) != "surrogate":
             continue
         out = F.when(entity == t, _first_free(t, value, text, taken, p.secret)).otherwise(out)
     return out
 
 
+NEW = "struct<put:string,token:string,entity_type:string,strategy:string,reversible:boolean,original:string>"
+
+
 def substitute(text: Column, spans: Column, p: Policy) -> Column:
-    """struct(masked_text, mapping): mapping entries in order of issue; irreversible ones under an audit token."""
+    """struct(masked_text, mapping): mapping entries in order of issue; irreversible ones under an audit token.
+
+    Distinct values are numbered once and looked up for each span; tokens that stand in the text are found once.
+    """
     if p.needs_key() and p.hash_key is None:
         raise ValueError("the hash strategy needs a key")
     hows = {p.default, *dict(p.per_entity).values()}
-    entry = F.array().cast("array<struct<put:string,token:string,entity_type:string,strategy:string,asked:string,reversible:boolean,original:string>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        how = strategy_of(s["entity_type"], p)
-        known = F.filter(acc["e"], lambda e: (e["original"] == s["text"]) & (e["entity_type"] == s["entity_type"]))
-        n = F.size(F.filter(acc["e"], lambda e: e["entity_type"] == s["entity_type"])) + 1
-        taken = F.concat(F.regexp_extract_all(text, F.lit(RESERVED), F.lit(0)), F.transform(acc["e"], lambda e: e["token"]))
-
-        def made() -> Column:
-            token = free_token(s["entity_type"], n, s["text"], taken, p.secret)
-            rev = how.isin("replace", "surrogate")
-            fake = surrogate(s["entity_type"], s["text"], text, taken, p) if "surrogate" in hows else F.lit(None).cast("string")
+    of = lambda s: F.concat(s["entity_type"], F.lit("\0"), s["text"])
+    kind = lambda k: F.substring_index(k, "\0", 1)
+
+    def made(k: Column, keys_of: Column, reserved: Column, fakes: Column | None) -> Column:
+        def entry(t: Column, value: Column) -> Column:
+            how, n = strategy_of(t, p), F.array_position(F.element_at(F.filter(keys_of, lambda g: g["t"] == t), 1)["k"], k)
+            token, rev = free_token(t, n, value, reserved, p.secret), how.isin("replace", "surrogate")
+            fake = F.lit(None).cast("string") if fakes is None else surrogate(t, value, text, F.concat(reserved, fakes), p)
             return let(
                 F.struct(token.alias("t"), fake.alias("f")),
                 lambda x: F.struct(
-                    F.coalesce(x["f"], F.when(rev, x["t"]).otherwise(fixed(s["text"], s["entity_type"], how, p))).alias("put"),
-                    F.coalesce(x["f"], x["t"]).alias("token"), s["entity_type"].alias("entity_type"),
-                    F.when(x["f"].isNull() & (how == "surrogate"), "replace").otherwise(how).alias("strategy"), how.alias("asked"), rev.alias("reversible"), s["text"].alias("original"),
-                ),
-            )
+                    F.coalesce(x["f"], F.when(rev, x["t"]).otherwise(fixed(value, t, how, p))).alias("put"), F.coalesce(x["f"], x["t"]).alias("token"), t.alias("entity_type"),
+                    F.when(x["f"].isNull() & (how == "surrogate"), "replace").otherwise(how).alias("strategy"), rev.alias("reversible"), value.alias("original"),
+                ).cast(NEW),
+            )
+
+        return let(kind(k), lambda t: entry(t, F.substr(k, F.length(t) + 2)))
+
+    def entries(keys: Column, keys_of: Column, reserved: Column) -> Column:
+        if "surrogate" not in hows:
+            return F.transform(keys, lambda k: made(k, keys_of, reserved, None))
+        return F.aggregate(  # a fake must differ from those before it
+            keys,
+            F.struct(F.array().cast(f"array<{NEW}>").alias("e"), F.array().cast("array<string>").alias("f")),
+            lambda acc, k: let(made(k, keys_of, reserved, acc["f"]), lambda e: F.struct(F.concat(acc["e"], F.array(e)).alias("e"), F.concat(acc["f"], F.array(e["token"])).alias("f"))),
+            lambda acc: acc["e"],
+        )
 
-        return let(
-            F.coalesce(F.get(known, F.lit(0)), made()),
-            lambda e: F.struct(
-                F.concat(acc["o"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), e["put"]).alias("o"),
-                s["end"].alias("at"),
-                F.when(F.size(known) > 0, acc["e"]).otherwise(F.concat(acc["e"], F.array(e))).alias("e"),
-            ),
+    def built(keys: Column, made_: Column) -> Column:
+        put = lambda s: F.element_at(made_, F.array_position(keys, of(s)).cast("int"))["put"]
+        from_ = lambda i: F.when(i == 0, 0).otherwise(F.element_at(spans, F.greatest(i, F.lit(1)))["end"])
+        pieces = F.transform(spans, lambda s, i: F.concat(F.substr(text, from_(i) + 1, s["start"] - from_(i)), put(s)))
+        last = F.element_at(spans, -1)["end"]
+        return F.struct(
+            F.concat(F.array_join(pieces, ""), F.substr(text, last + 1, F.length(text) - last)).alias("masked_text"),
+            F.transform(made_, lambda e: F.struct(*[e[c].alias(c) for c in ("token", "entity_type", "strategy", "reversible", "original")])).alias("mapping"),
         )
 
-    return F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("o"), F.lit(0).alias("at"), entry.alias("e")),
-        step,
-        lambda acc: F.struct(
-            F.concat(acc["o"], F.substr(text, acc["at"] + 1, F.length(text) - acc["at"])).alias("masked_text"),
-            F.transform(acc["e"], lambda e: F.struct(*[e[c].alias(c) for c in ("token", "entity_type", "strategy", "reversible", "original")])).alias("mapping"),
-        ),
-    )
+    def numbered(keys: Column) -> Column:
+        keys_of = F.transform(F.array_distinct(F.transform(keys, kind)), lambda t: F.struct(t.alias("t"), F.filter(keys, lambda k: kind(k) == t).alias("k")))
+        return let(F.struct(keys_of.alias("of"), F.regexp_extract_all(text, F.lit(RESERVED), F.lit(0)).alias("r")), lambda x: let(entries(keys, x["of"], x["r"]), lambda e: built(keys, e)))
+
+    return let(F.array_distinct(F.transform(spans, of)), numbered)
+
+
+def _python_substitute(text: Column, spans: Column, p: Policy) -> Column:
+    """The same in Arrow batches, for generators that were registered as Python functions."""
+    extra = dict(surrogates.EXTRA)
+
+    @F.pandas_udf(f"struct<masked_text:string,mapping:array<{ENTRY}>>")
+    def run(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        surrogates.EXTRA.update(extra)
+        out = []
+        for t, s in zip(texts, found):
+            if t is None or s is None:
+                out.append((t, []))
+                continue
+            masked, entries = model.substitute(t, [(x["start"], x["end"], x["entity_type"]) for x in s], p)
+            out.append((masked, [{k: getattr(e, k) for k in ("token", "entity_type", "strategy", "reversible", "original")} for e in entries]))
+        return pd.DataFrame(out, columns=["masked_text", "mapping"])
+
+    return run(text, spans)
 
 
 def unmask(text: Column, mapping: Column) -> Column:
@@ -157,7 +186,8 @@ def mask(df: DataFrame, column: str = "text", d: Detection = Detection(), p: Pol
     """df with masked_text and mapping. spans: a column of findings that is there already. Null text: null and no entries."""
     found = df if spans else detect(df, column, d, "_spans")
     t, s = F.col(column), F.col(spans or "_spans")
-    both = F.when(t.isNotNull(), F.when(F.size(s) > 0, substitute(t, s, p)).otherwise(F.struct(t.alias("masked_text"), F.array().cast(f"array<{ENTRY}>").alias("mapping"))))
+    own = any(p.of(e) == "surrogate" for e in surrogates.EXTRA)
+    both = F.when(t.isNotNull(), F.when(F.size(s) > 0, _python_substitute(t, s, p) if own else substitute(t, s, p)).otherwise(F.struct(t.alias("masked_text"), F.array().cast(f"array<{ENTRY}>").alias("mapping"))))
     out = found.withColumn("_m", both).withColumn("masked_text", F.col("_m.masked_text")).withColumn("mapping", F.coalesce("_m.mapping", F.array().cast(f"array<{ENTRY}>")))
     return out.drop("_m", "_spans")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.model import Policy
 from ..functions.rules import Detection
 from .detect import detect
+from .detect import each as every
 from .mask import RESERVED, fixed, free_token, strategy_of, surrogate, unmask
 
 
@@ -26,7 +27,7 @@ def mapping_table(df: DataFrame, session: str, order: str, column: str = "text",
 
 
 def _mapping(found: DataFrame, p: Policy) -> DataFrame:
-    s = found.withColumn("s", F.explode("spans"))
+    s = every(found, "spans")
     first = s.groupBy("session_id", F.col("s.entity_type").alias("entity_type"), F.col("s.text").alias("original")).agg(F.min(F.struct("turn", F.col("s.start").alias("start"))).alias("first"))
     w = Window.partitionBy("session_id", "entity_type").orderBy("first", "original")
     numbered = first.withColumn("n", F.row_number().over(w))
@@ -53,21 +54,20 @@ def _mapping(found: DataFrame, p: Policy) -> DataFrame:
 
 def mask_sessions(df: DataFrame, session: str, order: str, column: str = "text", d: Detection = Detection(), p: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
     """(df with masked_text, mapping table). Rows of df must differ in (session, order)."""
-    found = detect(df, column, d, "_spans").withColumnsRenamed({column: "text"}) if column != "text" else detect(df, column, d, "_spans")
-    m = _mapping(found.select(F.col(session).alias("session_id"), F.col(order).alias("turn"), "text", F.col("_spans").alias("spans")), p)
-    each = found.select(F.col(session).alias("_session"), F.col(order).alias("_order"), F.explode("_spans").alias("s"))
+    found = detect(df, column, d, "_spans")
+    m = _mapping(found.select(F.col(session).alias("session_id"), F.col(order).alias("turn"), F.col(column).alias("text"), F.col("_spans").alias("spans")), p)
+    each = every(found.select(F.col(session).alias("_session"), F.col(order).alias("_order"), "_spans"), "_spans").drop("_spans")
     puts = each.join(m, each["_session"].eqNullSafe(m["session_id"]) & (F.col("s.entity_type") == m["entity_type"]) & (F.col("s.text") == m["original"]))
     per = puts.groupBy("_session", "_order").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), "put"))).alias("_puts"))
     j = found.join(per, F.col(session).eqNullSafe(F.col("_session")) & F.col(order).eqNullSafe(F.col("_order")), "left")
-    t = F.col("text")
+    t = F.col(column)
     built = F.aggregate(
         "_puts",
         F.struct(F.lit("").alias("o"), F.lit(0).alias("at")),
         lambda a, x: F.struct(F.concat(a["o"], F.substr(t, a["at"] + 1, x["start"] - a["at"]), x["put"]).alias("o"), x["end"].alias("at")),
         lambda a: F.concat(a["o"], F.substr(t, a["at"] + 1, F.length(t) - a["at"])),
     )
-    out = j.withColumn("masked_text", F.when(F.col("_puts").isNull(), t).otherwise(built)).drop("_puts", "_session", "_order", "_spans")
-    return (out.withColumnRenamed("text", column) if column != "text" else out), m
+    return j.withColumn("masked_text", F.when(F.col("_puts").isNull(), t).otherwise(built)).drop("_puts", "_session", "_order", "_spans"), m
 
 
 def unmask_sessions(masked: DataFrame, mapping: DataFrame, session: str, column: str = "masked_text", out: str = "text") -> DataFrame:
@@ -77,14 +77,19 @@ def unmask_sessions(masked: DataFrame, mapping: DataFrame, session: str, column:
     """
     rev = mapping.where("reversible").select(F.col("session_id").alias("_s"), "n", "token", "original", "entity_type", "strategy", "reversible")
     fake = rev.where("strategy = 'surrogate'")
-    base = masked.withColumn("_row", F.monotonically_increasing_id())
-    tokens = base.select("_row", F.col(session).alias("_x"), F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(RESERVED), F.lit(0)))).alias("_t"))
-    hit = tokens.join(rev, F.col("_x").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("token"))).select("_row", "n", "token", "entity_type", "strategy", "reversible", "original")
+    # what a text becomes depends on session and text only: told by 128 bits of the text, the same in each evaluation
+    row = ["_x", "_h", "_i"]
+    base = masked.withColumns({"_x": F.col(session), "_h": F.xxhash64(column), "_i": F.xxhash64(F.lit(1), column)})
+    tokens = base.select(*row, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(RESERVED), F.lit(0)))).alias("_t")).distinct()
+    entry = ["n", "token", "entity_type", "strategy", "reversible", "original"]
+    hit = tokens.join(rev, F.col("_x").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("token"))).select(*row, *entry)
     if not fake.isEmpty():
-        more = base.select("_row", F.col(session).alias("_x"), F.col(column).alias("_text")).join(fake, F.col("_x").eqNullSafe(F.col("_s"))).where(F.contains("_text", F.col("token"))).select("_row", "n", "token", "entity_type", "strategy", "reversible", "original")
+        more = base.select(*row, F.col(column).alias("_text")).join(fake, F.col("_x").eqNullSafe(F.col("_s"))).where(F.contains("_text", F.col("token"))).select(*row, *entry).distinct()
         hit = hit.union(more)
-    per = hit.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("n", "token", "entity_type", "strategy", "reversible", "original"))).alias("_e"))
-    return base.join(per, "_row", "left").withColumn(out, F.when(F.col("_e").isNull(), F.col(column)).otherwise(unmask(F.col(column), F.col("_e")))).drop("_e", "_row")
+    per = hit.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("_e")).withColumnsRenamed({x: x + "2" for x in row})
+    same = F.col("_x").eqNullSafe(F.col("_x2")) & (F.col("_h") == F.col("_h2")) & (F.col("_i") == F.col("_i2"))
+    restored = F.when(F.col("_e").isNull(), F.col(column)).otherwise(unmask(F.col(column), F.col("_e")))
+    return base.join(per, same, "left").withColumn(out, restored).drop("_e", *row, *[x + "2" for x in row])
 
 
 def live(mapping: DataFrame, began: str, ttl_seconds: int, now=None) -> DataFrame:
