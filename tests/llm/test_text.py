@@ -303,15 +303,74 @@ def test_chunks_resist_insertions_and_find_passages(spark, edge, empty):
             rows.append((d, " ".join(word() for _ in range(80)) + " " + passage + " " + " ".join(word() for _ in range(80))))
     clean = set(range(len(rows), len(rows) + 200))
     rows += [(d, " ".join(word() for _ in range(150)) + " one short line that many texts share.") for d in clean]
-    got = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunks.repeated_passages(docs).collect()
     hit = {r["doc_id"] for r in got}
     assert len(planted - hit) <= 4 and not hit & clean
     for r in got:
         data = rows[r["doc_id"]][1].encode()[r["start"] : r["end"]]
-        assert data in rows[r["first_doc_id"]][1].encode()
+        assert data in rows[r["first_doc_id"]][1].encode() and len(data.split()) >= 15
+        assert r["kept"] == (r["doc_id"] == r["first_doc_id"])
+    left = chunks.without_repeats(docs, spark.createDataFrame(got)).collect()
+    assert sum(len(r["text"]) for r in left) < sum(len(t) for _, t in rows) - 100 * 150 and len(left) == len(rows)
     assert chunks.repeated_passages(edge).count() == 0 and chunks.repeated_passages(empty).count() == 0
 
 
+def passages_by_force(rows, min_words):
+    """All (doc, start, end) between chunk edges of min_words words at least, as short as can be, that two documents hold."""
+    held, at = {}, []
+    for d, t in rows:
+        data = (t or "").encode()
+        ends = chunks.cuts(data, 24, 8)
+        edges = [0, *ends]
+        for i, a in enumerate(edges[:-1]):
+            begins = lambda x: x < len(data) and not data[x : x + 1].isspace() and (x == 0 or data[x - 1 : x].isspace())
+            n = 0
+            for b, b2 in zip(edges[i:], edges[i + 1 :]):
+                n += sum(begins(x) for x in range(b, b2))
+                if n >= min_words:
+                    held.setdefault(data[a:b2], set()).add(d)
+                    at.append((d, a, b2, data[a:b2]))
+                    break
+    return [(d, a, b) for d, a, b, x in at if len(held[x]) > 1]
+
+
+def test_passages_against_force(spark):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = passages_by_force(rows, 16)
+    got = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    assert want and all(any(s <= a and b <= e for s, e in by[d]) for d, a, b in want)
+    assert {d for d, *_ in want} == set(by)
+    text = dict(rows)
+    for r in got:
+        assert text[r["doc_id"]].encode()[r["start"] : r["end"]] in text[r["first_doc_id"]].encode()
+    tiny = [(1, "S" * 3 + " " + " ".join(f"w{i}" for i in range(90))), (3, " ".join(f"w{i}" for i in range(40, 90))), (5, " ".join(f"w{i}" for i in range(90)))]
+    for r in chunks.repeated_passages(spark.createDataFrame(tiny, "doc_id long, text string")).collect():
+        assert dict(tiny)[r["doc_id"]].encode()[r["start"] : r["end"]] in dict(tiny)[r["first_doc_id"]].encode()
+
+
+def test_periodic_text_is_cut_and_repeats_within_a_document(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    missed = 0
+    for n in range(200):
+        one = word() + " "
+        passage = (one * 60).encode()
+        a, b = (" ".join(word() for _ in range(40)).encode() + b" " + passage + " ".join(word() for _ in range(40)).encode() for _ in range(2))
+        parts = [{x[i:j] for i, j in zip([0, *chunks.cuts(x, 24, 8)], chunks.cuts(x, 24, 8))} for x in (a, b)]
+        missed += not any(p in passage for p in parts[0] & parts[1])
+        assert max(map(len, parts[0])) <= 24 * 8 + 128
+    assert missed == 0
+    line = " ".join(word() for _ in range(30))
+    df = spark.createDataFrame([(1, f"{line} {' '.join(word() for _ in range(9))} {line}"), (2, "short")], "doc_id long, text string")
+    assert chunks.repeated_passages(df).count() == 0
+    found = chunks.repeated_passages(df, within=True).collect()
+    assert {r["kept"] for r in found} == {True, False} and {r["doc_id"] for r in found} == {1}
+
+
 @pytest.fixture(scope="module")
 def tokenizers():
     import public_tokenizers as P
