@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.model import Policy
-from .functions.rules import BUILT_IN, CONTAINED, MERGE, Detection, Rule
+from .functions.rules import BUILT_IN, CONTAINED, KEYWORDS, MERGE, Detection, Rule, boosted
 from .operators import detect as det
 from .operators import mask as msk
 from .operators import session as ses
@@ -76,10 +76,17 @@ RE2 = {
     "ipv4": (rf"(?:{_oct}\.){{3}}{_oct}", f"[^{W}]", "b", r"\p{Nd}\.\p{Nd}"),
     "ipv6": (r"(?:[A-Fa-f0-9]{1,4}:){7}[A-Fa-f0-9]{1,4}", f"[^{W}]", "b", ":"),
     "aws_key": (r"(?:AKIA|ASIA)[0-9A-Z]{16}", f"[^{W}]", "b", "A[KS]IA"),
-    "api_key": (r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9]{10,}|AIza[A-Za-z0-9_]{35})", f"[^{W}]", "b", "gh[pousr]_|xox|AIza"),
+    "api_key": (r"(?:sk-[A-Za-z0-9_-]{19,}[A-Za-z0-9_]|gh[pousr]_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{9,}[A-Za-z0-9]|AIza[A-Za-z0-9_-]{34}[A-Za-z0-9_])", f"[^{W}]", "b", "sk-|gh[pousr]_|xox|AIza"),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*[A-Za-z0-9_]", f"[^{W}]", "b", "eyJ"),
     "iban": (r"[A-Z]{2}\p{Nd}{2}[A-Z0-9]{11,30}", f"[^{W}]", "b", r"[A-Z]{2}\p{Nd}{2}"),
 }
+#: The two whose finding is not the whole match, or whose end depends on what follows: (parts before the finding, its parts and
+#: what follows, a filter of documents); the finding is parts 2 to 4 put together.
+_kinds = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Terrace|Ter"
+PARTS = {
+    "api_assignment": (rf"(?i)^([{W}]{{0,40}}(?:key|secret|token|password|credential)[{W}]{{0,40}}[{S}]*[:=][{S}]*[\x27\x22]?)([A-Za-z0-9_\-/+]{{16,}})()()([\x27\x22]?)", "(?i)(?:key|secret|token|password|credential)"),
+    "address": (rf"^()(\p{{Nd}}{{1,6}}[{S}]+(?:[A-Z][a-zA-Z]*[{S}]){{1,4}}(?:{_kinds}))(?:(\.)[{W}]|(,?[{S}]+(?:Apt|Suite|Ste|Unit)\.?[{S}]*#?[{W}]+)|[^{W}]|$)()", rf"\p{{Nd}}[{S}]+[A-Z]"),
+}
 VALID = {
     "ssn_dashed": "substr(value, 1, 3) NOT IN ('000', '666') AND value[1] <> '9'", "ssn_plain": "substr(value, 1, 3) NOT IN ('000', '666') AND value[1] <> '9'",
     "credit_card": "list_sum(list_transform(range(length(regexp_replace(value, '[ -]', '', 'g'))), lambda i: CASE WHEN i % 2 = 0 THEN CAST(reverse(regexp_replace(value, '[ -]', '', 'g'))[i + 1] AS INT) ELSE CAST(reverse(regexp_replace(value, '[ -]', '', 'g'))[i + 1] AS INT) * 2 - CASE WHEN CAST(reverse(regexp_replace(value, '[ -]', '', 'g'))[i + 1] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
@@ -90,6 +97,14 @@ VALID = {
 def rule_ctes(name: str, source: str = "texts") -> str:
     """CTEs that end in f_<name>(doc_id, start, end, value): leftmost non-overlapping matches by anchored matching at
     every place, then a fold that drops what overlaps the match before."""
+    if name in PARTS:
+        rx, has = PARTS[name]
+        return f"""
+p_{name} AS (SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM {source} WHERE regexp_matches(text, '{has}')),
+c_{name} AS (SELECT doc_id, i, regexp_extract(substr(text, i, 4000), '{rx}', ['a', 'b', 'c', 'd', 'e']) AS x FROM p_{name} WHERE regexp_matches(CASE WHEN i = 1 THEN '' ELSE substr(text, i - 1, 1) END, '[{W}]') <> regexp_matches(substr(text, i, 1), '[{W}]')),
+l_{name} AS (SELECT doc_id, list({{'a': i, 'b': i + length(x.a || x.b || x.c || x.d || x.e), 'at': length(x.a), 'v': x.b || x.c || x.d}} ORDER BY i) AS c FROM c_{name} WHERE x.b <> '' GROUP BY doc_id),
+k_{name} AS (SELECT doc_id, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN x[1].a >= acc[-1].b THEN list_concat(acc, x) ELSE acc END)) AS k FROM l_{name}),
+f_{name} AS (SELECT doc_id, CAST(k.a - 1 + k.at AS INTEGER) AS start, CAST(k.a - 1 + k.at + length(k.v) AS INTEGER) AS "end", k.v AS value FROM k_{name})"""
     rx, after, before, has = (x.replace("'", "''") if isinstance(x, str) else x for x in RE2[name])
     cur, prev = "substr(text, i, 1)", "CASE WHEN i = 1 THEN '' ELSE substr(text, i - 1, 1) END"
     border = f"NOT regexp_matches({prev}, '\\p{{Nd}}')" if before == "d" else f"regexp_matches({prev}, '[{W}]') <> regexp_matches({cur}, '[{W}]')"
@@ -130,6 +145,49 @@ CONTAINED_SQL = RESOLVED_SQL.replace(
     "CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e AND NOT (((x[1].s <= y.s AND y.e <= x[1].e) OR (y.s <= x[1].s AND x[1].e <= y.e)) AND ((x[1].v AND NOT y.v) OR (x[1].v = y.v AND x[1].e - x[1].s < y.e - y.s))))) > 0 THEN acc ELSE list_concat(list_filter(acc, lambda y: NOT (y.s < x[1].e AND x[1].s < y.e)), x) END",
 )
 
+MERGED_SQL = (
+    RESOLVED_SQL.replace("SELECT doc_id, k.s AS start", "SELECT doc_id, k FROM k) SELECT doc_id, k.s AS start", 1).replace("k AS (SELECT doc_id, unnest(list_reduce", "r AS (SELECT doc_id, unnest(list_reduce", 1).replace("AS k FROM l)\nSELECT doc_id, k FROM k)", """AS k FROM l),
+o AS (SELECT doc_id, list(k ORDER BY k.s) AS c FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN acc[-1].e = x[1].s AND acc[-1].t = x[1].t
+  THEN list_concat(acc[:-2], [{'s': acc[-1].s, 'e': x[1].e, 't': x[1].t, 'score': greatest(acc[-1].score, x[1].score), 'r': 'merged(' || acc[-1].r || '+' || x[1].r || ')', 'v': acc[-1].v OR x[1].v}])
+  ELSE list_concat(acc, x) END)) AS k FROM o)""")
+)  # the pools' texts are digits, so only spans that touch merge
+
+
+# ---- all rules -------------------------------------------------------------------------------------------------------------------
+def _scored(source: str = TEXTS) -> str:
+    """CTEs that end in cand(doc_id, start, end, entity_type, score, validated, ordinal, value): every rule's findings."""
+    each = []
+    for i, (name, rule) in enumerate(zip(NAMES, BUILT_IN)):
+        words, plain = KEYWORDS.get(rule.entity, ()), f"{round(rule.score, 2)}::DOUBLE"
+        near = "lower(substr(text, greatest(start - 40, 0) + 1, least(start, 40)) || ' ' || substr(text, \"end\" + 1, 40))"
+        score = f"CASE WHEN {' OR '.join(f'contains({near}, {chr(39)}{w}{chr(39)})' for w in words)} THEN {boosted(rule.score)}::DOUBLE ELSE {plain} END" if words else plain
+        each.append(f"SELECT doc_id, start, \"end\", '{rule.entity}' AS entity_type, {score} AS score, {'true' if rule.validator else 'false'} AS validated, {i} AS ordinal, value FROM f_{name} JOIN texts USING (doc_id)")
+    return f"{source}, " + ", ".join(rule_ctes(n) for n in NAMES) + ", cand AS (" + " UNION ALL ".join(each) + ")"
+
+
+def _found(where: str, source: str = TEXTS) -> str:
+    """CTEs that end in found: the strict choice among the candidates that pass `where`."""
+    return f"""{_scored(source)},
+cl AS (SELECT doc_id, list({{'s': start, 'e': "end", 't': entity_type, 'score': score, 'v': validated, 'x': value}} ORDER BY validated DESC, score DESC, "end" - start DESC, start, ordinal) AS c FROM cand WHERE {where} GROUP BY doc_id),
+ck AS (SELECT doc_id, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM cl),
+found AS (SELECT doc_id, k.s AS start, k.e AS "end", k.t AS entity_type, k.score AS score, k.v AS validated, k.x AS value FROM ck)"""
+
+
+def _found_sql(where: str) -> str:
+    return f'WITH {_found(where)} SELECT doc_id, start, "end", entity_type, score, validated FROM found'
+
+
+def _found_masked(put: str) -> str:
+    """CTEs that end in masked(doc_id, masked_text, n_tokens): each finding put in place; `put` is over entity_type, value and n."""
+    return f"""{_found('score >= 0.5')},
+firsts AS (SELECT doc_id, entity_type, value, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY min(start)) AS n FROM found GROUP BY doc_id, entity_type, value),
+pieces AS (SELECT doc_id, start, "end", {put} AS put FROM found JOIN firsts USING (doc_id, entity_type, value)),
+seq AS (SELECT doc_id, start, "end", put, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS frm, row_number() OVER (PARTITION BY doc_id ORDER BY start DESC) = 1 AS last FROM pieces),
+built AS (SELECT s.doc_id, string_agg(substr(t.text, frm + 1, start - frm) || put || CASE WHEN last THEN substr(t.text, "end" + 1) ELSE '' END, '' ORDER BY start) AS masked_text FROM seq s JOIN texts t USING (doc_id) GROUP BY s.doc_id),
+masked AS (SELECT t.doc_id, coalesce(b.masked_text, t.text) AS masked_text, CAST(coalesce((SELECT count(*) FROM firsts f WHERE f.doc_id = t.doc_id), 0) AS INTEGER) AS n_tokens FROM texts t LEFT JOIN built b USING (doc_id))"""
+
+
 # ---- masking ---------------------------------------------------------------------------------------------------------------------
 KEY = bytes(range(32))
 MIXED = Policy("replace", (("EMAIL", "redact"), ("PHONE", "mask"), ("IP_ADDRESS", "hash")), hash_key=KEY)
@@ -208,7 +266,7 @@ def json_typed(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- reports ---------------------------------------------------------------------------------------------------------------------------
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return det.explode_spans(det.detect(texts(spark, sf), "text", EMAIL_ONLY))
+    return det.explode_spans(det.detect(texts(spark, sf), "text"))
 
 
 def encrypted(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,14 +315,32 @@ QUERIES = {f"q{i + 1:02d}_{n}_spans": rule_query(i) for i, n in enumerate(NAMES)
     "q51_json_typed": json_typed,
     "q60_pii_report": lambda s, f: found(s, f).groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values")),
     "q61_pii_cube": lambda s, f: found(s, f).cube("lang", "source").agg(F.count(F.lit(1)).alias("n")),
-    "q62_docs_without_pii": lambda s, f: texts(s, f).select("doc_id", "text").where(~F.exists(det.candidates(F.col("text"), EMAIL_ONLY), lambda x: F.lit(True))).select("doc_id"),
+    "q62_docs_without_pii": lambda s, f: det.detect(_read(s, f, "documents").select("doc_id", "text")).where(~F.coalesce(F.size("spans") > 0, F.lit(False))).select("doc_id"),
     "q63_topk_docs": lambda s, f: found(s, f).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "doc_id").limit(20),
     "q70_mapping_encrypt_roundtrip": encrypted,
     "q90_flagship": flagship,
 }
 
 _pad = "unhex('" + bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex() + "')", "unhex('" + bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex() + "')"
-SQL = {f"q{NAMES.index(n) + 1:02d}_{n}_spans": f'WITH {TEXTS}, {rule_ctes(n)} SELECT doc_id, start, "end", value FROM f_{n}' for n in RE2} | {
+_TOKEN = "'<' || entity_type || '_' || CAST(n AS VARCHAR) || '>'"
+_TAIL = "reverse(list_reduce(list_transform(string_split(reverse(value), ''), lambda c: c), lambda a, c: a || CASE WHEN regexp_matches(c, '[\\p{L}\\p{N}]') AND length(regexp_replace(a, '[^\\p{L}\\p{N}]', '', 'g')) >= 4 THEN 'X' ELSE c END, ''))"
+_all = f"WITH {_found('score >= 0.5')} "
+_HASH = f"sha256({_pad[0]} || unhex(sha256({_pad[1]} || encode(value))))"
+_MIXED_PUT = f"CASE entity_type WHEN 'EMAIL' THEN '[REDACTED_EMAIL]' WHEN 'PHONE' THEN {_TAIL} WHEN 'IP_ADDRESS' THEN {_HASH} ELSE {_TOKEN} END"
+SESSION_MASK_SQL = f"""WITH {_TALKS},
+firsts AS (SELECT conv_id, value, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn * 1000000 + start), value) AS n FROM f_email JOIN (SELECT DISTINCT doc_id, doc_id // 1000 AS conv_id, doc_id % 1000 AS turn FROM texts) USING (doc_id) GROUP BY conv_id, value),
+seq AS (SELECT doc_id, start, "end", '<EMAIL_' || CAST(n AS VARCHAR) || '>' AS put, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS frm, row_number() OVER (PARTITION BY doc_id ORDER BY start DESC) = 1 AS last FROM f_email f JOIN firsts s ON f.doc_id // 1000 = s.conv_id AND f.value = s.value),
+built AS (SELECT s.doc_id, string_agg(substr(t.text, frm + 1, start - frm) || put || CASE WHEN last THEN substr(t.text, "end" + 1) ELSE '' END, '' ORDER BY start) AS masked_text FROM seq s JOIN texts t USING (doc_id) GROUP BY s.doc_id)
+SELECT t.conv_id, t.turn, coalesce(b.masked_text, t.text) AS masked_text FROM texts t LEFT JOIN built b USING (doc_id)"""
+SQL = {f"q{NAMES.index(n) + 1:02d}_{n}_spans": f'WITH {TEXTS}, {rule_ctes(n)} SELECT doc_id, start, "end", value FROM f_{n}' for n in NAMES} | {
+    "q20_candidates_scored": f'WITH {_scored()} SELECT doc_id, start, "end", entity_type, score, validated FROM cand',
+    "q23_resolved_merge": MERGED_SQL,
+    "q24_threshold_override": _found_sql("score >= CASE entity_type WHEN 'IP_ADDRESS' THEN 0.8 WHEN 'SSN' THEN 0.3 ELSE 0.5 END"),
+    "q25_disabled": _found_sql("score >= 0.5 AND entity_type NOT IN ('EMAIL', 'IP_ADDRESS')"),
+    "q28_all_types": _found_sql("score >= 0.5"),
+    "q34_mixed": f"WITH {_found_masked(_MIXED_PUT)} SELECT doc_id, masked_text FROM masked",
+    "q41_session_mask": SESSION_MASK_SQL,
+    "q90_flagship": f"WITH {_found_masked(_TOKEN)} SELECT doc_id, masked_text, n_tokens, true AS restored FROM masked",
     "q21_resolved_strict": RESOLVED_SQL,
     "q22_resolved_contained": CONTAINED_SQL,
     "q26_exclusions": _email + "SELECT doc_id, start, \"end\", 'EMAIL' AS entity_type, 0.95::DOUBLE AS score, false AS validated FROM f_email WHERE value <> 'user0@mail.example.org' AND NOT regexp_matches(value, '^user1')",
@@ -279,9 +355,9 @@ SQL = {f"q{NAMES.index(n) + 1:02d}_{n}_spans": f'WITH {TEXTS}, {rule_ctes(n)} SE
     "q42_session_unmask": f"SELECT {_CONV.format(S='VARCHAR')} FROM conversations",
     "q50_json_mask": "SELECT event_id, '<EMAIL_1>' AS mail, 16 AS card_digits, false AS card_kept, event_type AS kind, user_id FROM events",
     "q51_json_typed": "SELECT event_id, 'to <EMAIL_1>|none' AS mails, 'host <IP_ADDRESS_1>' AS host, value AS v FROM events",
-    "q60_pii_report": _email + "SELECT lang, 'EMAIL' AS entity_type, count(*) AS n, count(DISTINCT value) AS n_values FROM f_email JOIN texts USING (doc_id) GROUP BY lang",
-    "q61_pii_cube": _email + "SELECT lang, source, count(*) AS n FROM f_email JOIN texts USING (doc_id) GROUP BY CUBE (lang, source)",
-    "q62_docs_without_pii": _email + "SELECT doc_id FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM f_email)",
-    "q63_topk_docs": _email + "SELECT doc_id, count(*) AS n FROM f_email GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20",
+    "q60_pii_report": _all + "SELECT lang, entity_type, count(*) AS n, count(DISTINCT value) AS n_values FROM found JOIN texts USING (doc_id) GROUP BY lang, entity_type",
+    "q61_pii_cube": _all + "SELECT lang, source, count(*) AS n FROM found JOIN texts USING (doc_id) GROUP BY CUBE (lang, source)",
+    "q62_docs_without_pii": f"WITH {_found('score >= 0.5', 'texts AS (SELECT doc_id, text FROM documents)')} SELECT doc_id FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM found)",
+    "q63_topk_docs": _all + "SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20",
     "q70_mapping_encrypt_roundtrip": _email + ", firsts AS (SELECT doc_id, value, dense_rank() OVER (PARTITION BY doc_id ORDER BY min(start)) AS n FROM f_email GROUP BY doc_id, value) SELECT doc_id, '<EMAIL_' || CAST(n AS VARCHAR) || '>' AS token, value AS original FROM firsts",
 }
