@@ -237,6 +237,38 @@ def test_audio_aligns_shifted_recordings(spark):
     assert len(audio.FILTERS) == 16 and all(p + h <= 12 for _, p, h, _ in audio.FILTERS)
 
 
+def wav(x, width=2, rate=4000, channels=1):
+    import io
+    import wave
+
+    x = np.repeat(np.asarray(x, float), channels)
+    raw = {1: lambda: (x / 256 + 128).astype(np.uint8).tobytes(), 2: lambda: x.astype("<i2").tobytes(), 3: lambda: (x * 256).astype("<i4").tobytes(), 4: lambda: (x * 65536).astype("<i4").tobytes()}[width]()
+    if width == 3:
+        raw = np.frombuffer(raw, np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    buf = io.BytesIO()
+    with wave.open(buf, "wb") as out:
+        out.setnchannels(channels)
+        out.setsampwidth(width)
+        out.setframerate(rate)
+        out.writeframes(raw)
+    return buf.getvalue()
+
+
+def test_audio_formats_and_broken_headers():
+    x = audio.samples(audio.tones("some words that are rendered as tones for this test of formats and more of them here"))
+    want = audio.packed(audio.chroma(x))
+    assert len(want)
+    for width in (1, 2, 3, 4):
+        for channels in (1, 2):
+            got = audio.packed(audio.chroma(audio.samples(wav(x, width, 4000, channels))))
+            assert np.bitwise_count(got ^ want).sum() < 0.02 * 32 * len(want), width
+    good = wav(x)
+    for rate in (0, 1, 2**31 - 1):
+        assert len(audio.samples(good[:24] + rate.to_bytes(4, "little") + good[28:])) == 0
+    for cut in range(0, 60, 3):
+        audio.samples(good[:cut])
+
+
 def test_integral_image_filters_by_definition():
     rng = np.random.default_rng(0)
     f = rng.random((40, 12)).astype(np.float32)
