@@ -314,7 +314,8 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lea
     tiles = split_hot(table(keyed, "keyed"), "key", "node", 4 * most)
     maybe = components(tiles.repartition("key", "tile").sortWithinPartitions("key", "tile", "pc", "node").mapInArrow(_linker(radius, lanes), "a bigint, b bigint"), "simhash-groups")
     group = table(maybe.join(classes.drop("keys", "rows"), "node"), "groups")
-    one = texts.join(group.select("node", "low", F.col("th").alias("_th")), (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("low"))).select("node", "t")
+    # the texts are by far the larger side: merged at every size, so that the plan is the same everywhere
+    one = texts.hint("merge").join(group.select("node", "low", F.col("th").alias("_th")), (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("low"))).select("node", "t")
     sets = map_rows(one.dropDuplicates(["node"]), "node bigint, set binary", shingles)
     held = table(group.select("node", F.col("root").alias("key"), "pc", *prints).join(sets, "node"), "sets")
     judged = split_hot(held, "key", "node", most).repartition("key", "tile").sortWithinPartitions("key", "tile", "pc", "node")
