@@ -36,6 +36,14 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Spark's default of 10000 rows an Arrow batch knows no bound in bytes: with long texts or media it is lowered, for the session,
+    unless somebody has set it."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, "512")
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """start() runs once a task and gives f(columns as lists) -> columns; f sees at most 512 rows at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,6 +59,7 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], di
                 made = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) for x in out], schema=out)
 
+    small_batches(df)
     return df.mapInArrow(run, schema)
 
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, small_batches
 
 #: Fixed patterns of the contract; ASCII letters match in either case in the assignment's key.
 KINDS = ("assign", "access", "hex")
@@ -336,4 +336,5 @@ def redacted(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") ->
                 new = [t if t is None else redact(t, scan(t).every, mark) for t in part.column(i).to_pylist()]
                 yield part.set_column(i, part.schema.field(i), pa.array(new, part.schema.field(i).type))
 
+    small_batches(docs)
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, map_rows, table
+from .common import crc, map_rows, table, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -226,4 +226,5 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, *, text: str = "text", thr
                 good = [probability(min(30.0, sum(x[2] for x in scan(t, model)[1])), model) < threshold for t in part.column(part.schema.get_field_index(text)).to_pylist()]
                 yield part.filter(pa.array(good, pa.bool_()))
 
+    small_batches(docs)
     return docs.mapInArrow(run, docs.schema)

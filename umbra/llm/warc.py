@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, small_batches
 
 CHUNK = 256 << 10
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -72,6 +72,7 @@ def write_records(pages: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
         if rows:
             yield _batch(rows)
 
+    small_batches(pages)
     return pages.select("page_id", "url", "payload", "digest", "kind", "refers_to").mapInArrow(run, ROWS)
 
 
