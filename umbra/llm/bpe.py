@@ -186,7 +186,7 @@ class Codec:
     """Encodes texts word by word. Ids of words of up to `longest` characters are kept: two generations, of which a new one
     starts at a bound. Longer ones cost memory in proportion to their length, while their text is encoded."""
 
-    def __init__(self, path: str, pattern: str, words: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, pattern: str, words: int = 250_000, longest: int = 40):
         with open(path, "rb") as f:
             self.v = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.split = regex.compile(pattern).findall
