@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import crc, map_rows, table
 
 #: Numbers that are word characters to `re` but neither decimal digits nor letters, as fractions and Roman numerals.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NOT_LETTER = re.compile(rf"[\W\d_{re.escape(NUMBERS)}]+")
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NUMBER = re.compile(f"[{re.escape(''.join(sorted(NUMBERS)))}]")
+NOT_LETTER = re.compile(r"[\W\d_]+")
 BUCKETS = 1 << 14
 
 
@@ -35,7 +36,10 @@ class LanguageModel:
 
 def subwords(text: str | None) -> np.ndarray | None:
     """Counts of hashed subwords over the whole text; None if it has no letter."""
-    s = NOT_LETTER.sub(" ", (text or "").lower()).strip()
+    s = (text or "").lower()
+    if not s.isascii() and not NUMBERS.isdisjoint(s):
+        s = NUMBER.sub(" ", s)
+    s = NOT_LETTER.sub(" ", s).strip()
     if not s:
         return None
     out = np.zeros(BUCKETS, np.float64)
@@ -56,9 +60,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     """docs: the rows to learn from. sample: most documents of each language, the first by hash of id and text (repeated rows
     once); the number of languages is that of the distinct values. Null languages and texts without letters are left out."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("y"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t", F.lit(3)))
-    # the first of each language: every task keeps `sample` of its own before they meet
-    order = Window.partitionBy("y").orderBy(F.xxhash64("h"), "h")
-    ids = rows.groupBy("y", "h").agg(F.lit(1)).select("y", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("y", "h")
+    # the first of each language in two rounds, so that few rows meet in a language's task: in each of 64 parts by hash as
+    # many as are eight times its even share, then of those (every task keeps no more of its own before they meet)
+    rank = F.xxhash64("h")
+    ids = rows.groupBy("y", "h").agg(F.lit(1)).select("y", "h", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(64)).alias("s"))
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("y", "s").orderBy(rank, "h"))).where(F.col("n") <= max(8, sample // 8)).select("y", "h")
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(rank, "h"))).where(F.col("n") <= sample).select("y", "h")
     ids = table(ids, "learn")
     names = sorted(r[0] for r in ids.select("y").distinct().collect())
 
