@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,6 +137,10 @@ class Detection:
 
     def active(self) -> list[tuple[int, Rule]]:
         """Rules that can yield a span, with their place: disabled types and hopeless scores are left out at plan time."""
+        return self._active
+
+    @cached_property
+    def _active(self) -> list[tuple[int, Rule]]:
         out = []
         for i, r in enumerate((*self.rules, *self.custom)):
             best = boosted(r.score) if self.keywords.get(r.entity) else round(r.score, 2)
