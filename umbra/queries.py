@@ -12,6 +12,7 @@ from .operators import mask as msk
 from .operators import session as ses
 from .operators.json_mask import mask_free, mask_typed
 from .sources import store
+from .sources.scan import spread
 
 # ---- texts: documents with findings of every type added by row id, the same SQL for both engines -----------------------------
 CARDS = ("4111111111111111", "5555555555554444", "378282246310005", "6011111111111117")
@@ -43,7 +44,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").selectExpr("doc_id", "lang", "source", f"{_SPARK} AS text")
+    return spread(_read(spark, sf, "documents").select("doc_id", "lang", "source", "text")).selectExpr("doc_id", "lang", "source", f"{_SPARK} AS text")
 
 
 TEXTS = f"texts AS (SELECT doc_id, lang, source, {_DUCK} AS text FROM documents)"
@@ -228,7 +229,7 @@ _CONV = "conv_id, turn, text || ' mail user' || CAST((conv_id + turn % 3) % 7 AS
 
 
 def talks(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "conversations").selectExpr("conv_id", "turn", _CONV.format(S="STRING").removeprefix("conv_id, turn, "))
+    return spread(_read(spark, sf, "conversations")).selectExpr("conv_id", "turn", _CONV.format(S="STRING").removeprefix("conv_id, turn, "))
 
 
 def session_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,14 +253,14 @@ SELECT conv_id, '<EMAIL_' || CAST(row_number() OVER (PARTITION BY conv_id ORDER
 
 # ---- JSON ----------------------------------------------------------------------------------------------------------------------------
 def json_free(spark: SparkSession, sf: str) -> DataFrame:
-    e = _read(spark, sf, "events")
+    e = spread(_read(spark, sf, "events"))
     j = e.select("event_id", F.to_json(F.struct(F.col("user_id"), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@mail.example.org")).alias("mail"), F.lit(4111111111111111).alias("card"), F.col("event_type").alias("kind"))).alias("props"))
     m = mask_free(j, "props")
     return m.select("event_id", F.get_json_object("masked_json", "$.mail").alias("mail"), F.length(F.get_json_object("masked_json", "$.card")).alias("card_digits"), (F.get_json_object("masked_json", "$.card") == "4111111111111111").alias("card_kept"), F.get_json_object("masked_json", "$.kind").alias("kind"), F.get_json_object("masked_json", "$.user_id").cast("long").alias("user_id"))
 
 
 def json_typed(spark: SparkSession, sf: str) -> DataFrame:
-    e = _read(spark, sf, "events").select("event_id", F.struct(F.array(F.concat(F.lit("to user"), F.col("user_id").cast("string"), F.lit("@mail.example.org")), F.lit("none")).alias("mails"), F.struct(F.col("value").alias("v"), F.lit("host 10.0.0.7").alias("host")).alias("in")).alias("p"))
+    e = spread(_read(spark, sf, "events").select("event_id", "user_id", "value")).select("event_id", F.struct(F.array(F.concat(F.lit("to user"), F.col("user_id").cast("string"), F.lit("@mail.example.org")), F.lit("none")).alias("mails"), F.struct(F.col("value").alias("v"), F.lit("host 10.0.0.7").alias("host")).alias("in")).alias("p"))
     m = mask_typed(e, "p")
     return m.select("event_id", F.array_join("p.mails", "|").alias("mails"), F.col("p.in.host").alias("host"), F.col("p.in.v").alias("v"))
 
@@ -315,7 +316,7 @@ QUERIES = {f"q{i + 1:02d}_{n}_spans": rule_query(i) for i, n in enumerate(NAMES)
     "q51_json_typed": json_typed,
     "q60_pii_report": lambda s, f: found(s, f).groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values")),
     "q61_pii_cube": lambda s, f: found(s, f).cube("lang", "source").agg(F.count(F.lit(1)).alias("n")),
-    "q62_docs_without_pii": lambda s, f: det.detect(_read(s, f, "documents").select("doc_id", "text")).where(~F.coalesce(F.size("spans") > 0, F.lit(False))).select("doc_id"),
+    "q62_docs_without_pii": lambda s, f: det.detect(spread(_read(s, f, "documents").select("doc_id", "text"))).where(~F.coalesce(F.size("spans") > 0, F.lit(False))).select("doc_id"),
     "q63_topk_docs": lambda s, f: found(s, f).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "doc_id").limit(20),
     "q70_mapping_encrypt_roundtrip": encrypted,
     "q90_flagship": flagship,
