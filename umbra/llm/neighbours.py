@@ -74,7 +74,7 @@ class Space:
     probes: int
 
 
-def fit_spaces(rows: DataFrame, growth: float, depth: int, effort: float, most_probes: int, pivot_bytes: int) -> dict[int, Space]:
+def fit_spaces(rows: DataFrame, growth: float, depth: int, effort: float, pivot_bytes: int) -> dict[int, Space]:
     """A space for each length of vectors. Pivots: growth * sqrt(rows) distinct vectors, the first by hash of the id, as
     far as `pivot_bytes` reach: the index's only sample, and what tasks are sent of it."""
     out = {}
@@ -83,7 +83,7 @@ def fit_spaces(rows: DataFrame, growth: float, depth: int, effort: float, most_p
         got = rows.where(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(2 * n).select("v").collect()
         first = list(dict.fromkeys(tuple(r[0]) for r in got))[:n]
         n = len(first)
-        out[d] = Space(unit(np.array(first)), min(depth, max(1, n // 2)), max(1, min(round(effort * n**0.75), most_probes)))
+        out[d] = Space(unit(np.array(first)), min(depth, max(1, n // 2)), max(1, min(round(effort * n**0.75), n)))
     return out
 
 
@@ -92,7 +92,7 @@ def matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embedding", key: str = "vec_id", growth: float = 2.0, depth: int = 128, posted: int = 3, effort: float = 0.85, most_probes: int = 512, rerank: int = 32, block: int = 2048, pivot_bytes: int = 32 << 20) -> DataFrame:
+def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embedding", key: str = "vec_id", growth: float = 2.0, depth: int = 128, posted: int = 3, effort: float = 0.85, rerank: int = 32, block: int = 2048, pivot_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`.
 
     score is the cosine in double precision of the original vectors; ties go to the smaller id. Vectors that are null, zero or
@@ -101,11 +101,11 @@ def search(df: DataFrame, *, every: int = 50, k: int = 5, vector: str = "embeddi
     own id. Queries that the files give fewer than k candidates are searched again against all rows in blocks, so that small
     tables give all they have.
 
-    A query visits effort * n ** 0.75 of n pivots, `most_probes` at most, as each visit moves a query's row: the rows compared with
-    a query grow a little slower than the table, and from about 6 million rows on with their square root.
+    A query visits effort * n ** 0.75 of n pivots: each visit moves a query's row, and the rows compared with a query grow a
+    little slower than the table.
     """
     rows = usable(df, vector, key)
-    spaces = fit_spaces(rows, growth, depth, effort, most_probes, pivot_bytes)
+    spaces = fit_spaces(rows, growth, depth, effort, pivot_bytes)
     if not spaces:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     kind = np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
