@@ -237,6 +237,12 @@ def test_audio_aligns_shifted_recordings(spark):
     assert len(audio.FILTERS) == 16 and all(p + h <= 12 for _, p, h, _ in audio.FILTERS)
 
 
+def test_audio_short_recordings_have_classes(spark):
+    rows = [(1, audio.tones("two words")), (2, audio.tones("two words")), (3, audio.tones("two others")), (4, audio.tones("")), (5, audio.tones("")), (6, None), (7, b"junk")]
+    got = {r["rec_id"]: (r["n_ints"], r["class_id"], r["component_id"]) for r in audio.alignments(spark.createDataFrame(rows, "rec_id long, media binary")).collect()}
+    assert got == {1: (0, 1, 1), 2: (0, 1, 1), 3: (0, 3, 3), 4: (0, 4, 4), 5: (0, 5, 5), 6: (0, 6, 6), 7: (0, 7, 7)}
+
+
 def wav(x, width=2, rate=4000, channels=1):
     import io
     import wave
