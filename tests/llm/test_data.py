@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from umbra.llm import audio, mixing, neighbours, warc
-from umbra.llm.common import components, join_hot, split_hot
+from umbra.llm.common import components, forest, join_hot, split_hot
 
 
 def test_components_against_force(spark):
@@ -243,6 +243,52 @@ def test_audio_short_recordings_have_classes(spark):
     assert got == {1: (0, 1, 1), 2: (0, 1, 1), 3: (0, 3, 3), 4: (0, 4, 4), 5: (0, 5, 5), 6: (0, 6, 6), 7: (0, 7, 7)}
 
 
+def audio_variants():
+    """Recordings of 12 to 60 words, and each shifted by half a hop, noisy, cut, and with other words between."""
+    rng, noise = random.Random(5), np.random.default_rng(5)
+    out = []
+    for n in (12, 20, 30, 45, 60) * 3:
+        x = audio.samples(audio.tones(" ".join(f"w{rng.randint(0, 400)}" for _ in range(n))))
+        loud = np.sqrt((x**2).mean())
+        y = audio.samples(audio.tones(" ".join(f"w{rng.randint(0, 400)}" for _ in range(8))))
+        out += [x, x[audio.HOP // 2 :], x + noise.normal(0, loud * 0.316, len(x)), x[len(x) // 2 :], np.concatenate([x[: len(x) // 2], y, x[len(x) // 2 :]])]
+    return out + [np.tile(out[0][:384], k) for k in (20, 33, 47)]
+
+
+def brute_components(fps):
+    a, b = zip(*[(i, j) for i in range(len(fps)) for j in range(i) if audio.align(fps[i], fps[j], 16)[1] <= 0.15])
+    return forest(len(fps), np.array(a), np.array(b)).tolist()
+
+
+def test_audio_links_all_pairs_that_meet_the_threshold(spark, monkeypatch):
+    heard = [audio.samples(wav(np.clip(x, -32768, 32767))) for x in audio_variants()]
+    heard += [audio.samples(audio.tones(r["text"])) for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").limit(60).collect()]
+    fps = [audio.packed(audio.chroma(np.asarray(x, np.float32))) for x in heard]
+    want = brute_components(fps)
+    near = [k for k in range(0, 75, 5) if want[k] == want[k + 1] == want[k + 2]]
+    assert len(near) >= 13 and len(set(want)) > 40
+    rows = [(i, wav(x)) for i, x in enumerate(heard)]
+    df = spark.createDataFrame(rows, "rec_id long, media binary")
+    for least_block in (50_000, 1000):  # one block, several
+        monkeypatch.setattr(audio, "LEAST_BLOCK", least_block)
+        got = {r["rec_id"]: r for r in audio.alignments(df).collect()}
+        assert [got[i]["component_id"] if len(fps[i]) else i for i in range(len(fps))] == want
+
+
+@pytest.mark.parametrize("part, pairs", [(1 << 21, 1 << 19), (500, 64)])
+def test_audio_linker_by_brute_force(monkeypatch, part, pairs):
+    monkeypatch.setattr(audio, "PART", part)
+    monkeypatch.setattr(audio, "PAIRS", pairs)
+    fps = [x for x in (audio.packed(audio.chroma(np.asarray(x, np.float32))) for x in audio_variants()) if len(x)]
+    want, k = brute_components(fps), len(fps) // 2
+    assert [audio.unsqueezed(audio.squeezed(x.tobytes()), len(x)).tolist() for x in fps] == [x.tolist() for x in fps]
+    whole = audio.Linker(fps, None, 0.15, 16).links()
+    halves = audio.Linker(fps[:k], None, 0.15, 16).links() + [(a + k, b + k) for a, b in audio.Linker(fps[k:], None, 0.15, 16).links()] + audio.Linker(fps, k, 0.15, 16).links()
+    for links in (whole, halves):
+        assert forest(len(fps), *np.array(links).T).tolist() == want
+        assert all(audio.align(fps[a], fps[b], 16)[1] <= 0.15 for a, b in links)
+
+
 def wav(x, width=2, rate=4000, channels=1):
     import io
     import wave
