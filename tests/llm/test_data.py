@@ -289,6 +289,36 @@ def test_audio_linker_by_brute_force(monkeypatch, part, pairs):
         assert all(audio.align(fps[a], fps[b], 16)[1] <= 0.15 for a, b in links)
 
 
+def test_audio_linker_holds_integers_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    fps = [rng.integers(0, 2**32, 1000, dtype=np.uint32) for _ in range(4000)]
+    tracemalloc.start()
+    linker = audio.Linker(fps, 2000, 0.15, 16)
+    built = tracemalloc.get_traced_memory()[1]
+    assert not linker.links()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert built < 6 * 4_000_000 and peak < 6 * 4_000_000 + (56 << 20)
+
+
+def test_audio_op8_hears_a_turn_in_one_python_worker(spark, monkeypatch):
+    plans = {}
+
+    def table(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return made(df, label)
+
+    made = audio.table
+    monkeypatch.setattr(audio, "table", table)
+    rows = audio.op8(spark, "/root/testdata/sf0.001").collect()
+    assert plans["audio"].count("MapInArrow") == 1
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    heard = {t["conv_id"] * audio.TURNS + t["turn"]: audio.packed(audio.chroma(np.asarray(audio.samples(audio.tones(t["text"])), np.float32))) for t in turns}
+    assert {r["rec_id"]: r["n_ints"] for r in rows} == {k: len(x) for k, x in heard.items()}
+
+
 def wav(x, width=2, rate=4000, channels=1):
     import io
     import wave
